@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe_round_trip
+from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_counts import op5_token_counts
 from tessera.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
