@@ -6,12 +6,14 @@ from tessera.llm.bpe import op8_bpe_round_trip
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_counts import op5_token_counts
 from tessera.llm.toxicity import op1_toxicity
+from tessera.llm.winnowing import op9_winnowing
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_simhash": op7_simhash,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_winnowing": op9_winnowing,
 }
 
 ORACLES: dict[str, str] = {}
