@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe_round_trip
+from tessera.llm.embeddings import op10_embedding_groups
 from tessera.llm.simhash import op7_simhash
 from tessera.llm.token_counts import op5_token_counts
 from tessera.llm.toxicity import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_winnowing": op9_winnowing,
+    "op10_embedding_groups": op10_embedding_groups,
 }
 
 ORACLES: dict[str, str] = {}
