@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,20 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
+    """The same rows with their lineage cut by a reliable checkpoint.
+
+    The rows travel as one struct, so that the plan forgets how they were dealt out: a later join
+    then shuffles both sides, and adaptive execution can split a hot key there.
+    """
     scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.select(F.struct(*df.columns).alias("_row")).checkpoint(eager=True).select("_row.*")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows written to the shared folder and read again; for tables with whole texts."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
@@ -168,6 +169,16 @@ def _groups(rows: pa.Table, max_bits: int, last: bool) -> tuple[pa.Table, pa.Tab
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK), rows.slice(cut_at)
 
 
+def _classes(docs: DataFrame, size: int, max_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and per distinct fingerprint (fp, root, component_id)."""
+    found = cut(fingerprints(docs, size, id_col, text_col))
+    least = cut(found.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = components(links(least.select("fp"), max_bits))
+    grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found, cut(grouped.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+
+
 def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reachable by links, itself included).
 
@@ -176,13 +187,36 @@ def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 3, id_col: st
     their rows and never are a component's id unless all its ids are null. Repeated rows each give
     a row; an empty table gives none; other columns are not read.
     """
-    found = cut(fingerprints(docs, size, id_col, text_col))
-    least = cut(found.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(least.select("fp"), max_bits))
-    grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = cut(grouped.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    return found.join(by_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found, classes = _classes(docs, size, max_bits, id_col, text_col)
+    return found.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, with all its columns: the one with the smallest id.
+
+    Of rows that share that id the least by text and then the other columns stays, and so it does
+    in a group whose ids are all null.
+    """
+    found, classes = _classes(docs, size, max_bits, id_col, text_col)
+    kept = found.join(classes, "fp").filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
+    rest = [text_col, *(c for c in docs.columns if c not in (id_col, text_col))]
+
+    def least(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min(F.struct(*[c for c in rest])).alias("_row"))
+
+    named = least(docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi"), id_col).select(id_col, "_row.*").select(*docs.columns)
+    bare = docs.filter(F.col(id_col).isNull())
+    kind = docs.schema
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.fromiter((fingerprint(t, size) for t in batch.column(batch.schema.names.index(text_col)).to_pylist()), np.uint64, batch.num_rows)
+            yield batch.append_column("_fp", pa.array(own.view(np.int64)))
+
+    alone = classes.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    marked = bare.mapInArrow(printed, T.StructType([*kind.fields, T.StructField("_fp", T.LongType())])).join(alone, "_fp")
+    nameless = least(marked, "_root").select(F.lit(None).cast(kind[id_col].dataType).alias(id_col), "_row.*").select(*docs.columns)
+    return named.unionByName(nameless)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,23 @@ class Model:
         return float(values[at]), self.index.ids[rows].tolist(), cosines.tolist()
 
 
+class Scorer:
+    """A task's scores by term counts; equal counts are scored once while they are remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.memo = model, {}
+        self.label_of = {int(i): int(y) for i, y in zip(model.index.ids, model.index.labels)}
+
+    def __call__(self, counts) -> tuple[float, list[tuple[int, float, int]]]:
+        key = tuple(sorted(counts))
+        if key not in self.memo:
+            if len(self.memo) > 10_000:
+                self.memo.clear()
+            score, who, cosines = self.model.score([i for i, _ in key], [c for _, c in key])
+            self.memo[key] = score, [(i, c, self.label_of[i]) for i, c in zip(who, cosines)]
+        return self.memo[key]
+
+
 def _rank_terms(sample: DataFrame, max_terms: int) -> list[str]:
     """Terms that go with label 1, by the likelihood ratio; at most `max_terms`."""
 
@@ -187,16 +204,26 @@ def _rank_terms(sample: DataFrame, max_terms: int) -> list[str]:
     return [r["term"] for r in ranked.select("term").collect()]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, positives: int = 4096, negatives: int = 8192, max_terms: int = 512, k: int = 25, evidence: int = 3) -> DataFrame:
-    """Scores every row of `docs` (doc_id, text): doc_id, score, evidence.
+def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """Per row: doc_id, and the chosen terms in its text with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Extractor(terms).counts
+        for batch in batches:
+            found = [counts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[*c] for c in found], pa.list_(pa.int32())), pa.array([[*c.values()] for c in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, terms array<int>, counts array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, positives: int = 4096, negatives: int = 8192, max_terms: int = 512, k: int = 25) -> tuple[Model, list[str], DataFrame]:
+    """The model, its terms, and every document's counts of them.
 
     `labels` (doc_id, toxic) are learned from where `train` holds, which may use doc_id; a
     document with several label rows counts as toxic if any says so; null labels and null ids are
-    left out. `evidence` lists the nearest examples with cosine and label. Only the text decides a
-    score. Null and empty texts, and texts without any chosen term, get the rate among such
-    examples; without labels of both kinds every score is the rate of label 1 (0 without labels).
-    Repeated rows each get a row; null ids stay; an empty table gives no rows; other columns are
-    not read. Sample sizes bound the labelled rows that are used; everything else covers all rows.
+    left out. Sample sizes bound the labelled rows that are used, so what the driver gets is
+    bounded too; document frequencies cover all documents.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if train is not None:
@@ -204,22 +231,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, po
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("label = 1").orderBy(*order).limit(positives).unionByName(known.filter("label = 0").orderBy(*order).limit(negatives))
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # positives + negatives rows bound it
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))  # positives + negatives rows bound it
     terms = _rank_terms(sample, max_terms)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Extractor(terms).counts
-        for batch in batches:
-            found = [counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[*c] for c in found], pa.list_(pa.int32())), pa.array([[*c.values()] for c in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, terms array<int>, counts array<int>"
-    vecs = cut(docs.select("doc_id", "text").mapInArrow(vectors, shape))
+    vecs = cut(_vectors(docs, terms))
     frequency = {r["t"]: r["n"] for r in vecs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # at most max_terms rows
     total = vecs.count()
     idf = np.array([math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-    rows = sample.select("doc_id", "text").mapInArrow(vectors, shape).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # the sample's size
+    rows = _vectors(sample, terms).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()  # the sample's size
     seen = [r for r in rows if r["terms"]]
     index = BlockMaxIndex([unit(r["terms"], r["counts"], idf) for r in seen], np.array([r["label"] for r in seen], int), np.array([int(r["doc_id"]) for r in seen], np.int64), len(terms))
     number = {int(d): i for i, d in enumerate(index.ids)}
@@ -232,27 +250,45 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, po
     without = Counter(r["label"] for r in rows if not r["terms"])
     weight = {y: without[y] * of.get(y, 0) / sampled[y] if sampled[y] else 0.0 for y in (0, 1)}
     none = weight[1] / (weight[0] + weight[1]) if weight[0] + weight[1] else 0.0
-    model = docs.sparkSession.sparkContext.broadcast(Model(index, idf, k, steps, none))  # the sample's size
+    return Model(index, idf, k, steps, none), terms, vecs
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, evidence: int = 3, **sizes: int) -> DataFrame:
+    """Scores every row of `docs` (doc_id, text): doc_id, score, evidence; see `fit` for labels and sizes.
+
+    `evidence` lists the nearest examples with cosine and label. Only the text decides a score.
+    Null and empty texts, and texts without any chosen term, get the rate among such examples;
+    without labels of both kinds every score is the rate of label 1 (0 without labels). Repeated
+    rows each get a row; null ids stay; an empty table gives no rows; other columns are not read.
+    """
+    own, _, vecs = fit(docs, labels, train, **sizes)
+    model = docs.sparkSession.sparkContext.broadcast(own)  # the sample's size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = model.value, {}
-        label_of = {int(i): int(y) for i, y in zip(own.index.ids, own.index.labels)}
+        score = Scorer(model.value)
         for batch in batches:
-            scores, near = [], []
-            for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = tuple(sorted(zip(ids, counts)))
-                if key not in memo:
-                    if len(memo) > 10_000:
-                        memo.clear()
-                    score, who, cosines = own.score([i for i, _ in key], [c for _, c in key])
-                    memo[key] = score, [{"example": i, "cosine": c, "label": label_of[i]} for i, c in zip(who[:evidence], cosines)]
-                scores.append(memo[key][0])
-                near.append(memo[key][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))], ["doc_id", "score", "evidence"])
+            found = [score(zip(ids, counts)) for ids, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            near = [[{"example": i, "cosine": c, "label": y} for i, c, y in f[1][:evidence]] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))], ["doc_id", "score", "evidence"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     return vecs.mapInArrow(scored, f"doc_id {kind}, score double, evidence array<struct<example: bigint, cosine: double, label: int>>")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train: Column | None = None, **sizes: int) -> DataFrame:
+    """The rows of `docs` whose score is under the threshold, with all their columns."""
+    own, terms, _ = fit(docs, labels, train, **sizes)
+    model = docs.sparkSession.sparkContext.broadcast(own)  # the sample's size
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, counts = Scorer(model.value), Extractor(terms).counts
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            yield batch.filter(pa.array([score(counts(t).items())[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
