@@ -40,6 +40,11 @@ def odd(spark, odd_rows):
     return spark.createDataFrame(odd_rows, SCHEMA).withColumns({c: F.lit(v) for c, v in CLASHES.items()}).repartition(3).cache()
 
 
+@pytest.fixture(scope="session")
+def clashes():
+    return CLASHES
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)

@@ -119,17 +119,16 @@ def plain_groups(rows, least=0.9):
 
 
 @pytest.mark.parametrize("cell", [512, 5])
-def test_embedding_groups(spark, monkeypatch, cell):
+def test_embedding_groups(spark, monkeypatch, clashes, cell):
     monkeypatch.setattr(embeddings, "CELL", cell)
     draw = np.random.default_rng(7)
     base = draw.normal(size=(8, 16))
     rows = [(i, (base[i % 8] + draw.normal(size=16) * (0.05 if i % 3 else 0.6)).astype(np.float32).tolist()) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(4)] + [(300, None), (301, []), (302, [0.0] * 16), (303, [None] + [1.0] * 15), (304, [float("nan")] * 16), (305, [float("inf")] + [0.0] * 15), (None, rows[1][1]), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [3e38] * 16), (309, [-0.0] * 15 + [1.0]), (310, [0.0] * 15 + [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    from conftest import CLASHES
     from pyspark.sql import functions as F
 
-    got = sorted(map(repr, (tuple(r) for r in embeddings.embedding_groups(table.withColumns({c: F.lit(v) for c, v in CLASHES.items()})).collect())))
+    got = sorted(map(repr, (tuple(r) for r in embeddings.embedding_groups(table.withColumns({c: F.lit(v) for c, v in clashes.items()})).collect())))
     assert got == sorted(map(repr, plain_groups(rows)))
     assert embeddings.embedding_groups(table.limit(0)).count() == 0
 
