@@ -8,7 +8,7 @@
 3. The examples form an inverted index in blocks of `BLOCK` with the largest weight of each term
    in each block. A query visits blocks by falling upper bound and stops when no block can reach
    its k-th best, so its nearest examples are exact.
-4. Votes of the k nearest, weighted by cosine, are calibrated on the examples (each against the
+4. Votes of the k nearest, weighted by cosine so that far ones hardly count, are calibrated on the examples (each against the
    others) by isotonic regression. Texts without any term share the rate of label 1 among the
    sampled rows without any.
 """
@@ -81,7 +81,7 @@ class BlockMaxIndex:
         self.rows, self.weights = rows[by], weights[by]
         #: start of each term's postings in each block
         key = cols[by] * (self.blocks + 1) + rows[by] // BLOCK
-        self.starts = np.searchsorted(key, np.arange(n_terms * (self.blocks + 1) + 1)).reshape(-1) if self.blocks else np.zeros(1, int)
+        self.starts = np.searchsorted(key, np.arange(n_terms * (self.blocks + 1))).reshape(n_terms, self.blocks + 1)
 
     def nearest(self, cols: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest, ties by row; `without` names a row to leave out."""
@@ -97,15 +97,13 @@ class BlockMaxIndex:
             if len(best) == k and bound[order[at]] < best[-1]:
                 break
             wave = order[at : at + step]
-            seen = []
-            for c, w in zip(cols, weights):
-                base = c * (self.blocks + 1)
-                for b in wave:
-                    s, e = self.starts[base + b], self.starts[base + b + 1]
-                    if e > s:
-                        scores[self.rows[s:e]] += w * self.weights[s:e]
-                        seen.append(self.rows[s:e])
-            new = np.unique(np.concatenate(seen)) if seen else np.empty(0, int)
+            # the postings of all terms in all blocks of the wave, as one index
+            first = self.starts[cols[:, None], wave].ravel()
+            sizes = self.starts[cols[:, None], wave + 1].ravel() - first
+            run = np.arange(sizes.sum()) + np.repeat(first - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+            hit = self.rows[run]
+            np.add.at(scores, hit, np.repeat(np.repeat(weights, len(wave)), sizes) * self.weights[run])
+            new = np.unique(hit)
             rows = np.concatenate([rows, new[new != without]])
             got = np.round(scores[rows], 12)
             keep = np.lexsort((rows, -got))[:k]
@@ -113,10 +111,9 @@ class BlockMaxIndex:
         return rows, best
 
     def vote(self, cols, weights, k: int, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 among the k nearest, each weighted by its cosine."""
+        """The share of the k votes that go to label 1: each neighbour votes with its cosine, what is left of it for label 0."""
         rows, cosines = self.nearest(cols, weights, k, without)
-        total = cosines.sum()
-        return (float((cosines * self.labels[rows]).sum() / total) if total else math.nan), rows, cosines
+        return (float((cosines * self.labels[rows]).sum() / k) if len(rows) else math.nan), rows, cosines
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
