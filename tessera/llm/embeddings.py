@@ -71,6 +71,8 @@ class Quantiser:
         dim = sample.shape[1]
         self.parts = [slice(i, min(i + WIDTH, dim)) for i in range(0, dim, WIDTH)]
         self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
+        #: |r - b|^2 = |r|^2 + (-2 r b + |b|^2): a query's table is one small product
+        self.tables = [((-2 * b.T).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
 
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector's residual, and the length of what they miss."""
@@ -84,12 +86,11 @@ class Quantiser:
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Look-up distances of queries to the coded members of a list."""
-        residual = queries - self.centres[centre]
-        total = np.zeros((len(queries), len(codes)), np.float32)
-        for m, (p, book) in enumerate(zip(self.parts, self.books)):
-            steps = ((residual[:, None, p] - book[None]) ** 2).sum(2).astype(np.float32)
-            total += steps[:, codes[:, m]]
-        return np.sqrt(total)
+        residual = (queries - self.centres[centre]).astype(np.float32)
+        total = np.repeat((residual**2).sum(1, keepdims=True), len(codes), axis=1)
+        for m, (p, (turned, size)) in enumerate(zip(self.parts, self.tables)):
+            total += (residual[:, p] @ turned + size)[:, codes[:, m]]
+        return np.sqrt(np.maximum(total, 0))
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
