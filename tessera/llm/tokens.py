@@ -178,7 +178,7 @@ class Codec:
             self._merge = self._ranker._core_bpe.encode_single_piece
             self._ids = self.vocab.ids.astype(self.dtype)
             self._code = [int(i).to_bytes(self.dtype.itemsize, "little") for i in self.vocab.ids]
-        self._pieces = Cache(self.piece)
+        self._pieces = Cache(self.piece, 3 * CACHE_WORDS)
 
     def ranks_of(self, piece: str) -> list[int]:
         """Ranks of one unsplit piece; long ones by concatenating halves."""
