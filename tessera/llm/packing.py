@@ -24,6 +24,7 @@ from tessera.llm.common import table
 
 SHARD = 2048  #: documents in a shard, about
 K1, B = 1.2, 0.75
+DENSE = 1024  #: terms of a shard whose weights are kept as dense rows
 ALIKE = 64  #: rows of one id in a batch that may go to one shard
 
 
@@ -32,24 +33,36 @@ def crc(ids: np.ndarray) -> int:
 
 
 class BM25:
-    """An inverted index over token arrays."""
+    """An inverted index over token arrays: posting lists, and dense rows for the terms of most texts."""
 
     def __init__(self, texts: list[np.ndarray]):
-        self.n = len(texts)
+        self.n = n = len(texts)
         sizes = np.array([len(t) for t in texts], np.int64)
         stream = np.concatenate(texts).astype(np.int64) if texts else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(self.n), sizes)
-        keys, tf = np.unique(stream * max(1, self.n) + owner, return_counts=True)
-        terms, self.docs = np.divmod(keys, max(1, self.n))
-        self.terms, first, df = np.unique(terms, return_index=True, return_counts=True)
-        self.starts = np.append(first, len(keys))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 1.0))
-        self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        # each text's own terms, as numbers of posting lists
+        owner = np.repeat(np.arange(n), sizes)
+        keys, tf = np.unique(stream * max(1, n) + owner, return_counts=True)
+        terms, docs = np.divmod(keys, max(1, n))
+        _, first, df = np.unique(terms, return_index=True, return_counts=True)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))
+        weights = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[docs])).astype(np.float32)
+        # the DENSE most frequent terms: all texts against all as one matrix product, of a shard's bounded size
+        common = np.zeros(len(df), bool)
+        common[np.argsort(-df, kind="stable")[:DENSE]] = True
+        number = np.cumsum(common) - 1
+        dense = np.repeat(common, df)
+        rows, cols = np.repeat(number, df)[dense], docs[dense]
+        table, asked = np.zeros((int(common.sum()), n), np.float32), np.zeros((n, int(common.sum())), np.float32)
+        table[rows, cols] = weights[dense]
+        asked[cols, rows] = 1
+        self.common = asked @ table
+        # the others stay posting lists
+        self.docs, self.weights = docs[~dense].astype(np.int32), weights[~dense]
+        rare = df[~common]
+        self.starts = np.append(0, np.cumsum(rare))
         by = np.argsort(self.docs, kind="stable")
-        lists = np.repeat(np.arange(len(self.terms)), df)[by]
-        self.own = np.split(lists, np.cumsum(np.bincount(self.docs, minlength=self.n))[:-1]) if self.n else []
+        lists = np.repeat(np.arange(len(rare)), rare)[by]
+        self.own = np.split(lists, np.cumsum(np.bincount(self.docs, minlength=n))[:-1]) if n else []
 
     def scores(self, text: int) -> np.ndarray:
         """BM25 of every text for the terms of one."""
@@ -57,10 +70,10 @@ class BM25:
         starts, sizes = self.starts[own], self.starts[own + 1] - self.starts[own]
         total = int(sizes.sum())
         if not total:
-            return np.zeros(self.n)
-        # all postings of the query's terms, one index
+            return self.common[text]
+        # all postings of the query's rare terms, as one index
         at = np.arange(total) + np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes)
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        return self.common[text] + np.bincount(self.docs[at], self.weights[at], self.n)
 
 
 def packed(tails: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:

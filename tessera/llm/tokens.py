@@ -27,14 +27,12 @@ import numpy as np
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\t-\r \x85\xa0"
-#: The split patterns of the two file shapes, as the files and the library write them.
-BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split pattern that files of the word shape hold.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: The same, for Latin-1 text only; letters first, as no two alternatives but the quotes' start alike.
-_BYTE_PIECES = re.compile(
-    f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+#: That and the byte shape's, for Latin-1 text only; letters first, as no two alternatives but the quotes' start alike.
+BYTE_SPLIT = f" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+_BYTE_PIECES = re.compile(BYTE_SPLIT)
 _WORD_PIECES = re.compile(f"[{LETTER}]+|[{NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACE}{LETTER}{NUMBER}]+")
 #: Ends a word in the byte strings of word vocabularies; UTF-8 never holds it.
 _END = b"\xff"
@@ -223,7 +221,7 @@ class Codec:
         if not self.shortly(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
         if not self.vocab.suffix and len(text) < BLOCK:
-            return self._ids[self._ranker.encode_to_numpy(text, disallowed_special=())]
+            return self._ids[np.array(self._ranker.encode_ordinary(text), np.intp)]
         return np.frombuffer(b"".join([b"".join(map(self._pieces.__getitem__, block)) for block in self.pieces(text)]), self.dtype)
 
 
