@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
-LIST = 128  #: vectors to a coarse list, about
-LISTS = 8192  #: coarse lists at most; beyond, lists grow and are dealt into more cells
+LIST = 128  #: vectors to a list, about
+COARSE = 4096  #: centroids of the first level, and of the second, at most: up to COARSE^2 lists
+SENT = 65_536  #: lists whose sizes may be broadcast
 SAMPLE = 65_536  #: vectors that centroids and codebooks are fitted on, at most
 CODES = 256  #: codes of a subspace
 WIDTH = 4  #: dimensions of a subspace
@@ -63,20 +64,50 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids and the codebooks of their residuals."""
+    """List centroids of one or two levels, and the codebooks of what they leave.
+
+    Where more lists are wanted than the first level may have, each of its lists is split by the
+    nearest of second-level centroids, which are fitted on the first level's residuals and shared.
+    """
 
     def __init__(self, sample: np.ndarray, lists: int):
-        self.centres = _kmeans(sample, lists)
-        residual = sample - self.centres[_nearest(sample, self.centres)[:, 0]]
+        self.centres = _kmeans(sample, min(lists, COARSE))
+        own = _nearest(sample, self.centres)[:, 0]
+        split = min(COARSE, -(-lists // len(self.centres)))
+        self.fine = _kmeans(sample - self.centres[own], split) if split > 1 else np.zeros((1, sample.shape[1]))
+        residual = sample - self.base(self.lists(sample, 1)[:, 0])
         dim = sample.shape[1]
         self.parts = [slice(i, min(i + WIDTH, dim)) for i in range(0, dim, WIDTH)]
         self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
         #: |r - b|^2 = |r|^2 + (-2 r b + |b|^2): a query's table is one small product
         self.tables = [((-2 * b.T).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
 
+    @property
+    def size(self) -> int:
+        return len(self.centres) * len(self.fine)
+
+    def base(self, lists: np.ndarray) -> np.ndarray:
+        """The centroids of lists."""
+        return self.centres[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def lists(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of the k nearest lists among the second levels of the k nearest first-level ones, nearest first."""
+        first = _nearest(x, self.centres, k)
+        if len(self.fine) == 1:
+            return first
+        numbers, away = [], []
+        for c in range(first.shape[1]):
+            residual = x - self.centres[first[:, c]]
+            near = _nearest(residual, self.fine, k)
+            numbers.append(first[:, c : c + 1] * len(self.fine) + near)
+            away.append(np.stack([((residual - self.fine[near[:, j]]) ** 2).sum(1) for j in range(near.shape[1])], axis=1))
+        numbers, away = np.concatenate(numbers, axis=1), np.concatenate(away, axis=1)
+        best = np.argsort(away, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(numbers, best, 1)
+
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector's residual, and the length of what they miss."""
-        residual = x - self.centres[lists]
+        residual = x - self.base(lists)
         codes = np.empty((len(x), len(self.parts)), np.uint8)
         missed = np.zeros(len(x))
         for m, (p, book) in enumerate(zip(self.parts, self.books)):
@@ -86,7 +117,7 @@ class Quantiser:
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Look-up distances of queries to the coded members of a list."""
-        residual = (queries - self.centres[centre]).astype(np.float32)
+        residual = (queries - self.base(np.array([centre]))).astype(np.float32)
         total = np.repeat((residual**2).sum(1, keepdims=True), len(codes), axis=1)
         for m, (p, (turned, size)) in enumerate(zip(self.parts, self.tables)):
             total += (residual[:, p] @ turned + size)[:, codes[:, m]]
@@ -130,8 +161,8 @@ def _dealt(reps: DataFrame, quantiser, numbers: np.dtype) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = unit(np.frombuffer(b"".join(batch.column("raw").to_pylist()), numbers).reshape(batch.num_rows, -1))
-            probes = _nearest(x, q.centres, PROBES)
-            own = _nearest(x, q.centres)[:, 0]
+            probes = q.lists(x, PROBES)
+            own = q.lists(x, 1)[:, 0]
             codes, missed = q.code(x, own)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("key", "node", "n", "raw")), pa.array(own), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), pa.array(list(probes), pa.list_(pa.int32()))],
@@ -199,17 +230,17 @@ def _cell_links(rows: pa.Table, q: Quantiser, numbers: np.dtype, least: float) -
 
 def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
     """Rows (key, n) of queries' links and rows (a, b) of links, from all cells."""
-    members = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
-    asking = {r["list"]: r["n"] for r in index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    most = max(members) + 1 if members else 1
-    # by list number: how many cells its members and its queries are dealt into
-    cells = F.array(*[F.lit(-(-members.get(i, 1) // CELL)) for i in range(most)])
-    queries = F.array(*[F.lit(-(-asking.get(i, 1) // (4 * CELL))) for i in range(most)])
-    spread = lambda of: F.sequence(F.lit(0), of - 1)
+    probing = index.select("key", "node", "n", "raw", F.explode("probes").alias("list"))
+    # into how many cells a list's members and its queries are dealt
+    members = index.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    asking = probing.groupBy("list").agg(F.ceil(F.count("*") / (4 * CELL)).cast("int").alias("parts"))
+    sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.coalesce("parts", F.lit(1)).alias("parts")))
+    if quantiser.value.size <= SENT:
+        sizes = F.broadcast(sizes)
+    spread = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
     hashed = F.xxhash64("key")
-    base = index.select("key", "node", "n", "raw", "list", "code", "missed", F.pmod(hashed, F.get(cells, F.col("list"))).cast("int").alias("cell"), F.explode(spread(F.get(queries, F.col("list")))).alias("part"), F.lit(True).alias("member"))
-    ask = index.select("key", "node", "n", "raw", F.explode("probes").alias("list"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("missed")).filter(F.col("list") < most)
-    ask = ask.withColumn("cell", F.explode(spread(F.get(cells, F.col("list"))))).withColumn("part", F.pmod(hashed, F.get(queries, F.col("list"))).cast("int")).withColumn("member", F.lit(False))
+    base = index.join(sizes, "list").select("key", "node", "n", "raw", "list", "code", "missed", F.pmod(hashed, "cells").cast("int").alias("cell"), F.explode(spread("parts")).alias("part"), F.lit(True).alias("member"))
+    ask = probing.join(sizes, "list").select("key", "node", "n", "raw", "list", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("missed"), F.explode(spread("cells")).alias("cell"), F.pmod(hashed, "parts").cast("int").alias("part"), F.lit(False).alias("member"))
     group = ["list", "cell", "part"]
     kind = index.schema["node"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
@@ -262,7 +293,7 @@ def embedding_groups(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     for dim, total in sorted((r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = reps.filter(F.col("dim") == dim)
         sample = own.orderBy("key").limit(max(1, SAMPLE * 64 // max(64, dim))).select("raw").collect()
-        quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, min(LISTS, total // LIST))))
+        quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, total // LIST)))
         links = _links(cut(_dealt(own, quantiser, numbers)), quantiser, numbers, least)
         found = links if found is None else found.unionByName(links)
     if found is None:

@@ -133,7 +133,10 @@ def test_embedding_groups(spark, monkeypatch, clashes, cell):
     assert embeddings.embedding_groups(table.limit(0)).count() == 0
 
 
-def test_embedding_recall(spark):
+@pytest.mark.parametrize("coarse", [4096, 4])
+def test_embedding_recall(spark, monkeypatch, coarse):
+    """One level of lists, and two."""
+    monkeypatch.setattr(embeddings, "COARSE", coarse)
     draw = np.random.default_rng(8)
     base = draw.normal(size=(400, 64))
     vectors = np.concatenate([base, base + draw.normal(size=base.shape) * 0.4, draw.normal(size=(1200, 64))])
@@ -144,13 +147,17 @@ def test_embedding_recall(spark):
     assert sum(got.values()) >= 0.9 * want.sum() > 0
 
 
-def test_look_up_distances_bound_true_ones():
+@pytest.mark.parametrize("lists", [4, 20])
+def test_look_up_distances_bound_true_ones(monkeypatch, lists):
+    monkeypatch.setattr(embeddings, "COARSE", 4)
     draw = np.random.default_rng(9)
     x = embeddings.unit(draw.normal(size=(500, 24)))
-    q = embeddings.Quantiser(x, 4)
-    lists = embeddings._nearest(x, q.centres)[:, 0]
-    codes, missed = q.code(x, lists)
-    inside = np.flatnonzero(lists == 0)
-    bound = q.distances(x[:50], 0, codes[inside]) - missed[inside]
+    q = embeddings.Quantiser(x, lists)
+    assert (q.size > 4) == (lists > 4)
+    own = q.lists(x, 1)[:, 0]
+    assert (q.lists(x, 3)[:, 0] == own).mean() > 0.8
+    codes, missed = q.code(x, own)
+    inside = np.flatnonzero(own == own[0])
+    bound = q.distances(x[:50], int(own[0]), codes[inside]) - missed[inside]
     true = np.linalg.norm(x[:50, None] - x[inside], axis=2)
     assert (bound <= true + 1e-3).all()
