@@ -22,14 +22,14 @@ def split_words(text: Column) -> Column:
 
 def edge_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-case words without the edge characters, stop-words and empty words left out."""
-    cleaned = F.transform(split_words(text), lambda w: F.btrim(F.lower(w), F.lit(EDGES)))
+    cleaned = F.transform(split_words(F.lower(text)), lambda w: F.btrim(w, F.lit(EDGES)))
     return F.filter(cleaned, lambda w: (w != "") & ~w.isin(*stop_words) if stop_words else w != "")
 
 
 def strict_tokens(text: Column) -> Column:
     """Lower-case words without any punctuation or digit; empty words left out."""
-    cleaned = F.transform(split_words(text), lambda w: F.regexp_replace(F.lower(w), DELETED, ""))
-    return F.filter(cleaned, lambda w: w != "")
+    # what is deleted is never white space, so it may go before the split: one pass a text, not one a word
+    return split_words(F.regexp_replace(F.lower(text), DELETED, ""))
 
 
 def month_name(date: Column) -> Column:
