@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import new_folder, remove_folder, stored, table
 from tessera.llm.packing import pack
 from tessera.llm.secrets import redact
 from tessera.llm.simhash import keep_first
@@ -45,8 +45,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what a stage returns is written to the shared folder for the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`.
+
+    What a stage returns is written to the shared folder for the next, and removed when that has
+    written its own; the last stage's input stays, as its result is read from it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        folder = new_folder(spark, name)
+        docs = stored(stage(spark, docs, sf_dir), folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

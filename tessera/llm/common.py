@@ -37,9 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*df.columns).alias("_row")).checkpoint(eager=True).select("_row.*")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows written to the shared folder and read again; for tables with whole texts."""
-    folder = new_folder(df.sparkSession, name)
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The same rows written to a folder and read again; for tables with whole texts."""
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
