@@ -71,16 +71,17 @@ def with_next(rows: DataFrame, id_col: str, follow: list[str], order: list[str],
     """`rows` with next_<c> for each c of `follow`: its value in the next row by id, after the last the first row's.
 
     Ids are cut into runs of consecutive ids at percentiles; the first row of each run is also a
-    last row of the run before. Each run is one window, so nothing is sorted in a single task.
+    last row of the run before. Each run is one window, so nothing is sorted in a single task. Ids
+    are numbers; there are 10,000 runs at most, beyond which runs grow and windows spill.
     `order` ranks rows of equal id; null ids come first. One row follows itself.
     """
-    found = rows.agg(F.count("*").alias("n"), F.max(F.col(id_col).isNull()).alias("nulls")).first()
+    found = rows.agg(F.count("*").alias("n"), F.max(F.col(id_col).isNull()).alias("nulls"), F.min(id_col).alias("least")).first()
     runs = max(1, min(10_000, found["n"] // run_rows))
-    steps = [i / runs for i in range(1, runs)]
-    cuts = rows.agg(F.percentile_approx(id_col, F.array(F.lit(0.0), *map(F.lit, steps)), F.lit(max(10_000, 20 * runs))).alias("c")).first()["c"] or []
-    least, cuts = (cuts[0] if cuts else None), sorted({*cuts[1:]} - {*cuts[:1]})
-    if found["nulls"]:
-        cuts = sorted({*cuts, *([least] if least is not None else [])})
+    steps = F.array(*[F.lit(i / runs) for i in range(1, runs)]).cast("array<double>")
+    cuts = (rows.agg(F.percentile_approx(id_col, steps, F.lit(max(10_000, 20 * runs))).alias("c")).first()["c"] or []) if runs > 1 else []
+    # the least id opens the first run, unless null ids do
+    least = found["least"]
+    cuts = sorted({*cuts} - {least} | ({least} - {None} if found["nulls"] else set()))
     ident, fan = F.col(id_col), 64
     coarse = cuts[::fan]
     # the number of cuts at or below the id: first among every 64th, then among the 64 after it
@@ -92,7 +93,7 @@ def with_next(rows: DataFrame, id_col: str, follow: list[str], order: list[str],
         opens = F.coalesce(F.array_contains(F.get(parts, F.greatest(high - 1, F.lit(0))), ident), F.lit(False))
     else:
         run, opens = F.lit(0), F.lit(False)
-    first = F.lit(bool(found["nulls"])) & ident.isNull() if found["nulls"] else (ident == F.lit(least) if least is not None else F.lit(False))
+    first = ident.isNull() if found["nulls"] else ident == F.lit(least)
     at = rows.withColumn("_run", run.cast("int"))
     # a run's opening rows close the run before, the very first rows close the last run
     copies = F.when(first, F.array(F.col("_run"), F.lit(-len(cuts) - 2))).when(opens, F.array(F.col("_run"), -F.col("_run"))).otherwise(F.array(F.col("_run")))
