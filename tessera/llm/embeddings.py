@@ -1,13 +1,14 @@
-"""Embedding near-duplicates by product quantisation.
+"""Embedding near-duplicates over lists of near vectors, searched by bounds that leave out no link.
 
-Unit vectors are assigned to the nearest of the coarse centroids; their residuals are coded in
-subspaces. Each vector is also a query: in the lists it probes, table look-ups give the distance
-to every code. The length of each vector's own coding error is kept, so by the triangle inequality
-a look-up distance rules a vector out only if it can't reach the threshold; every other one gets
-the exact cosine in double precision. Equal vectors are one entry with a count.
+Unit vectors are assigned to the list of the nearest centroid. A vector asks every later list that
+can hold a link: by the triangle inequality one whose centroid is no farther than the list's radius
+and the threshold's distance, and on this side, within that distance, of the plane between the
+first-level centroids. So each pair of lists meets once, and a found pair counts for both its ends.
+Single-precision products decide all pairs but those within their rounding error of the threshold;
+these get the exact cosine in double precision. Equal vectors are one entry with a count.
 
 Lists are dealt into bounded cells, of members and of queries, so that a crowded list is the work
-of many tasks. A cell returns each query's number of links and a spanning forest of the links, not
+of many tasks. A cell returns each entry's number of links and a spanning forest of the links, not
 the pairs.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +28,13 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
-LIST = 128  #: vectors to a list, about
+LIST = 2048  #: vectors to a list, about
 COARSE = 4096  #: centroids of the first level, and of the second, at most: up to COARSE^2 lists
 SENT = 65_536  #: lists whose sizes may be broadcast
 SAMPLE = 65_536  #: vectors that centroids and codebooks are fitted on, at most
 CODES = 256  #: codes of a subspace
 WIDTH = 4  #: dimensions of a subspace
-PROBES = 12  #: lists that a query looks into
-CELL = 512  #: members of a list in one cell, and a quarter of its queries
+CELL = 4096  #: members of a list in one cell, and half of its queries
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -75,12 +76,24 @@ class Quantiser:
         own = _nearest(sample, self.centres)[:, 0]
         split = min(COARSE, -(-lists // len(self.centres)))
         self.fine = _kmeans(sample - self.centres[own], split) if split > 1 else np.zeros((1, sample.shape[1]))
-        residual = sample - self.base(self.lists(sample, 1)[:, 0])
         dim = sample.shape[1]
         self.parts = [slice(i, min(i + WIDTH, dim)) for i in range(0, dim, WIDTH)]
-        self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
+        self._sample = sample
+
+    @cached_property
+    def books(self) -> list[np.ndarray]:
+        """Codebooks, fitted when codes are first asked for."""
+        residual = self._sample - self.base(self.lists(self._sample, 1)[:, 0])
+        return [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
         #: |r - b|^2 = |r|^2 + (-2 r b + |b|^2): a query's table is one small product
-        self.tables = [((-2 * b.T).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
+        return [((-2 * b.T).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
+
+    def __getstate__(self) -> dict:
+        """Without the sample, which is too large to send, unless codes have been asked for."""
+        return {k: v for k, v in self.__dict__.items() if k != "_sample"}
 
     @property
     def size(self) -> int:
@@ -105,6 +118,22 @@ class Quantiser:
         best = np.argsort(away, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(numbers, best, 1)
 
+    def within(self, x: np.ndarray, own: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+        """Which lists may hold a vector within `reach` of each row; `radii` are negative for lists without members.
+
+        A member of another first-level list lies beyond the plane between that list's centroid and
+        the row's own, so a row farther than `reach` from the plane has no link there.
+        """
+        reach += 1e-6  # rounding of the distances
+        first = own // len(self.fine)
+        squares = np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
+        apart = np.sqrt(np.maximum(((self.centres**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * self.centres @ self.centres.T), 0))[first]
+        ahead = squares - np.take_along_axis(squares, first[:, None], 1)
+        near = (ahead <= 2 * reach * apart) | (apart < 1e-4)
+        bases = self.base(np.arange(self.size))
+        away = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (bases**2).sum(1) - 2 * x @ bases.T, 0))
+        return np.repeat(near, len(self.fine), axis=1) & (away - radii <= reach) & (radii >= 0)
+
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector's residual, and the length of what they miss."""
         residual = x - self.base(lists)
@@ -152,95 +181,111 @@ def _keyed(rows: DataFrame, kind: str, numbers: np.dtype) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {kind}, dim int, key binary, raw binary")
 
 
-def _dealt(reps: DataFrame, quantiser, numbers: np.dtype) -> DataFrame:
-    """Each entry with its list, codes, error and probed lists."""
+def _vectors(batch: pa.RecordBatch | pa.Table, numbers: np.dtype) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(batch.column("raw").to_pylist()), numbers).reshape(batch.num_rows, -1))
+
+
+def _radii(reps: DataFrame, quantiser, numbers: np.dtype) -> np.ndarray:
+    """The largest distance of a member of each list from its centroid; -1 for lists without members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = quantiser.value
+        radii = np.full(q.size, -1.0)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(np.frombuffer(b"".join(batch.column("raw").to_pylist()), numbers).reshape(batch.num_rows, -1))
-            probes = q.lists(x, PROBES)
-            own = q.lists(x, 1)[:, 0]
-            codes, missed = q.code(x, own)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("key", "node", "n", "raw")), pa.array(own), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), pa.array(list(probes), pa.list_(pa.int32()))],
-                ["key", "node", "n", "raw", "list", "code", "missed", "probes"],
-            )
+            if batch.num_rows:
+                x = _vectors(batch, numbers)
+                own = q.lists(x, 1)[:, 0]
+                np.maximum.at(radii, own, np.sqrt(((x - q.base(own)) ** 2).sum(1)))
+        held = np.flatnonzero(radii >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(radii[held])], ["list", "radius"])
+
+    radii = np.full(quantiser.value.size, -1.0)
+    for r in reps.select("raw").mapInArrow(run, "list int, radius double").groupBy("list").agg(F.max("radius").alias("radius")).collect():  # a row a list
+        radii[r["list"]] = r["radius"]
+    return radii
 
-    kind = reps.schema["node"].dataType.simpleString()
-    return reps.select("key", "node", "n", "raw").mapInArrow(run, f"key binary, node {kind}, n long, raw binary, list int, code binary, missed double, probes array<int>")
 
+def _dealt(reps: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
+    """Each entry with its list and the later lists that may hold links of it."""
+    radii = _radii(reps, quantiser, numbers)
+    reach = math.sqrt(max(0.0, 2 - 2 * least))
 
-class _Forest:
-    def __init__(self):
-        self.parent: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = quantiser.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x = _vectors(batch, numbers)
+                own = q.lists(x, 1)[:, 0]
+                asked = q.within(x, own, radii, reach) & (np.arange(q.size) > own[:, None])
+                probes = pa.array([np.flatnonzero(a).astype(np.int32) for a in asked], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "n", "raw")), pa.array(own, pa.int32()), probes], ["key", "node", "n", "raw", "list", "probes"])
 
-    def find(self, x):
-        parent = self.parent
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    kind = reps.schema["node"].dataType.simpleString()
+    return reps.select("key", "node", "n", "raw").mapInArrow(run, f"key binary, node {kind}, n long, raw binary, list int, probes array<int>")
 
-    def join(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
 
+def _cell_links(rows: pa.Table, numbers: np.dtype, least: float) -> tuple[list, list, list, list]:
+    """A cell's rows: for each entry with links its key and their number, and links that connect what they connect.
 
-def _cell_links(rows: pa.Table, q: Quantiser, numbers: np.dtype, least: float) -> tuple[list, list, list, list]:
-    """A cell's rows: for each query with links its key and their number, and links that connect what they connect."""
+    Queries meet all members; members meet each other, once, in the first part of the cell's queries.
+    """
     member = rows["member"].to_numpy(zero_copy_only=False).astype(bool)
-    if member.all() or not member.any():
-        return [], [], [], []
-    raw = np.frombuffer(b"".join(rows["raw"].to_pylist()), numbers).reshape(rows.num_rows, -1)
-    x, keys = unit(raw), np.array(rows["key"].to_pylist(), object)
-    nodes, counts = rows["node"].to_pylist(), rows["n"].to_numpy()
     inside, asking = np.flatnonzero(member), np.flatnonzero(~member)
-    codes = np.frombuffer(b"".join(rows["code"].filter(pa.array(member)).to_pylist()), np.uint8).reshape(len(inside), -1)
-    missed = rows["missed"].to_numpy()[inside]
-    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-3  # single-precision sums in the tables
-    centre = rows["list"][0].as_py()
-    out_keys, out_n, a, b = [], [], [], []
-    forest = _Forest()
+    x = _vectors(rows, numbers)
+    single = x.astype(np.float32)
+    slack = (x.shape[1] + 4) * 2.0**-23  # of single-precision products of unit vectors
+    nodes, counts = rows["node"].to_pylist(), rows["n"].to_numpy().astype(float)
+    totals, label = np.zeros(rows.num_rows), np.arange(rows.num_rows)
+    a, b = [], []
+
+    def meet(own: np.ndarray, others: np.ndarray, later: bool) -> None:
+        product = single[own] @ single[others].T
+        linked = product >= least + slack
+        r, c = np.nonzero(np.abs(product - least) <= slack)
+        linked[r, c] = np.einsum("ij,ij->i", x[own[r]], x[others[c]]) >= least
+        if later:
+            linked &= others > own[:, None]
+        if not linked.any():
+            return
+        totals[own] += linked @ counts[others]
+        totals[others] += counts[own] @ linked
+        for k in np.flatnonzero(linked.any(1)):
+            s, to = own[k], others[linked[k]]
+            to = to[label[to] != label[s]]
+            if len(to):
+                roots, at = np.unique(label[to], return_index=True)
+                a.extend([nodes[s]] * len(at))
+                b.extend(nodes[t] for t in to[at])
+                label[np.isin(label, roots)] = label[s]
+
     for at in range(0, len(asking), 256):
-        own = asking[at : at + 256]
-        near = q.distances(x[own], centre, codes) - missed <= reach
-        r, c = np.nonzero(near)
-        i, j = own[r], inside[c]
-        cosine = np.einsum("ij,ij->i", x[i], x[j])
-        linked = (cosine >= least) & (keys[i] != keys[j])
-        i, j = i[linked], j[linked]
-        totals = np.zeros(rows.num_rows, np.int64)
-        np.add.at(totals, i, counts[j])
-        for k in np.flatnonzero(totals):
-            out_keys.append(keys[k])
-            out_n.append(int(totals[k]))
-        for s, t in zip(i, j):
-            if forest.join(nodes[s], nodes[t]):
-                a.append(nodes[s])
-                b.append(nodes[t])
-    return out_keys, out_n, a, b
-
-
-def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
-    """Rows (key, n) of queries' links and rows (a, b) of links, from all cells."""
+        meet(asking[at : at + 256], inside, False)
+    if rows["part"][0].as_py() == 0:
+        for at in range(0, len(inside), 256):
+            meet(inside[at : at + 256], inside[at:], True)
+    keys = rows["key"]
+    found = np.flatnonzero(totals)
+    return keys.take(pa.array(found)).to_pylist(), [int(t) for t in totals[found]], a, b
+
+
+def _links(index: DataFrame, lists: int, numbers: np.dtype, least: float) -> DataFrame:
+    """Rows (key, n) of entries' links and rows (a, b) of links, from all cells."""
     probing = index.select("key", "node", "n", "raw", F.explode("probes").alias("list"))
-    # into how many cells a list's members and its queries are dealt
-    members = index.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    asking = probing.groupBy("list").agg(F.ceil(F.count("*") / (4 * CELL)).cast("int").alias("parts"))
-    sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.coalesce("parts", F.lit(1)).alias("parts")))
-    if quantiser.value.size <= SENT:
+    # into how many cells a list's members and its queries are dealt; members ask the later cells of their list too
+    members = index.groupBy("list").agg(F.count("*").alias("members")).withColumn("cells", F.ceil(F.col("members") / CELL).cast("int"))
+    asking = index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asking"))
+    queries = F.coalesce("asking", F.lit(0)) + F.when(F.col("cells") > 1, F.col("members")).otherwise(0)
+    sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.greatest(F.lit(1), F.ceil(queries / (2 * CELL))).cast("int").alias("parts")))
+    if lists <= SENT:
         sizes = F.broadcast(sizes)
-    spread = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-    hashed = F.xxhash64("key")
-    base = index.join(sizes, "list").select("key", "node", "n", "raw", "list", "code", "missed", F.pmod(hashed, "cells").cast("int").alias("cell"), F.explode(spread("parts")).alias("part"), F.lit(True).alias("member"))
-    ask = probing.join(sizes, "list").select("key", "node", "n", "raw", "list", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("missed"), F.explode(spread("cells")).alias("cell"), F.pmod(hashed, "parts").cast("int").alias("part"), F.lit(False).alias("member"))
+    entry = ["key", "node", "n", "raw", "list"]
+    own_cell, own_part = F.pmod(F.xxhash64("key"), "cells").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int")
+    spread = lambda start, of: F.explode(F.sequence(start, F.col(of) - 1))
+    dealt = index.join(sizes, "list").withColumn("own", own_cell)
+    base = dealt.select(*entry, F.col("own").alias("cell"), spread(F.lit(0), "parts").alias("part"), F.lit(True).alias("member"))
+    beside = dealt.filter(F.col("own") < F.col("cells") - 1).select(*entry, spread(F.col("own") + 1, "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
+    ask = probing.join(sizes, "list").select(*entry, spread(F.lit(0), "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
     group = ["list", "cell", "part"]
     kind = index.schema["node"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
@@ -248,10 +293,9 @@ def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; a cell's rows are bounded."""
         rest = None
-        q = quantiser.value
 
         def found(rows: pa.Table) -> pa.RecordBatch:
-            keys, n, a, b = _cell_links(rows, q, numbers, least)
+            keys, n, a, b = _cell_links(rows, numbers, least)
             pad = lambda v, left, right: [None] * left + v + [None] * right
             return pa.RecordBatch.from_arrays([pa.array(pad(keys, 0, len(a)), pa.binary()), pa.array(pad(n, 0, len(a)), pa.int64()), pa.array(pad(a, len(keys), 0), arrow), pa.array(pad(b, len(keys), 0), arrow)], ["key", "n", "a", "b"])
 
@@ -264,7 +308,7 @@ def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> Data
         if rest is not None and rest.num_rows:
             yield found(rest)
 
-    return base.unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"key binary, n long, a {kind}, b {kind}")
+    return base.unionByName(beside).unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"key binary, n long, a {kind}, b {kind}")
 
 
 def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
@@ -277,11 +321,11 @@ def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
 def embedding_groups(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links, component_id, kept.
 
-    Vectors of equal length link where an exact cosine of at least `least` is found. Rows without
+    Vectors of equal length link where their cosine is at least `least`; every such pair is found. Rows without
     an id, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
     nothing: n_links 0, their own id as component. Equal vectors link with each other; repeated
     rows count as other vectors. An empty table gives no rows; other columns are not read. The
-    quantiser is fitted on at most SAMPLE vectors; every vector is indexed and is a query.
+    centroids are fitted on at most SAMPLE vectors, which decides the work, not the links.
     """
     spark = rows.sparkSession
     field = rows.schema[vec_col].dataType
@@ -294,7 +338,7 @@ def embedding_groups(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id"
         own = reps.filter(F.col("dim") == dim)
         sample = own.orderBy("key").limit(max(1, SAMPLE * 64 // max(64, dim))).select("raw").collect()
         quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, total // LIST)))
-        links = _links(cut(_dealt(own, quantiser, numbers)), quantiser, numbers, least)
+        links = _links(cut(_dealt(own, quantiser, numbers, least)), quantiser.value.size, numbers, least)
         found = links if found is None else found.unionByName(links)
     if found is None:
         return keyed.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

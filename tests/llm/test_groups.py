@@ -161,3 +161,18 @@ def test_look_up_distances_bound_true_ones(monkeypatch, lists):
     bound = q.distances(x[:50], int(own[0]), codes[inside]) - missed[inside]
     true = np.linalg.norm(x[:50, None] - x[inside], axis=2)
     assert (bound <= true + 1e-3).all()
+
+
+@pytest.mark.parametrize("coarse", [4096, 30])
+def test_crowded_near_copies_are_all_linked(spark, monkeypatch, coarse):
+    """A third of the rows in one group of near, unequal vectors, over many lists; one level of lists, and two."""
+    monkeypatch.setattr(embeddings, "COARSE", coarse)
+    monkeypatch.setattr(embeddings, "LIST", 8)
+    draw = np.random.default_rng(10)
+    centre = draw.normal(size=32)
+    vectors = np.concatenate([centre + draw.normal(size=(300, 32)) * 0.2, draw.normal(size=(600, 32))])
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    rows = embeddings.embedding_groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()
+    assert want[:300].min() > 200
+    assert {r["vec_id"]: r["n_links"] for r in rows} == dict(enumerate(want))
