@@ -37,7 +37,7 @@ NAME_SCORES = {
 }
 #: Values that only hold a place.
 PLACEHOLDERS = frozenset({"changeme", "example", "none", "null", "true", "false", "password", "secret", "token", "undefined", "redacted", "placeholder", "your_password"})
-#: Parts of names, lower-cased with `_`, `-` and `.` left out; a text without any has no sensitive name.
+#: Parts of names, lower-cased with `_`, `-`, `.` and `$` left out; a text without any, read so too, has no sensitive name.
 _HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "connection")
 _OPERATOR = re.compile(r"[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*")
 _TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s,;"'`{}\[\]()<>+]+))""")
@@ -123,7 +123,7 @@ def pairs(text: str) -> list[Pair]:
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Literals that sensitive names come to hold, directly or through other names."""
-    low = text.lower()
+    low = text.lower().replace("_", "").replace("-", "").replace(".", "").replace("$", "")
     if not any(h in low for h in _HINTS) or not ("=" in text or ":" in text or "</" in text):
         return []
     found = pairs(text)
