@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,9 +43,8 @@ _HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential",
 _OPERATOR = re.compile(r"[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*")
 _TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s,;"'`{}\[\]()<>+]+))""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_ELEMENT = re.compile(r"<([A-Za-z][\w.-]{0,79})>([^<>\n]{1,512})</\1>")
+_ELEMENT = re.compile(r"<([A-Za-z][\w.-]*+)>([^<>\n]++)</\1>")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
-NAME_LENGTH = 80  #: characters of a target name
 THRESHOLD = 0.6
 
 
@@ -70,7 +70,7 @@ def literal_score(literal: str) -> float:
     plain = literal.strip()
     if len(plain) < 6 or plain.lower() in PLACEHOLDERS or plain[0] in "$<{%" or len({*plain}) < 4 or " " in plain:
         return 0.0
-    counts = [plain.count(c) / len(plain) for c in {*plain}]
+    counts = [n / len(plain) for n in Counter(plain).values()]
     entropy = -sum(p * math.log2(p) for p in counts)
     mixed = sum(bool(re.search(p, plain)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.4 + 0.1 * entropy + 0.1 * (mixed - 1))
@@ -92,7 +92,7 @@ def _target(text: str, end: int) -> str:
         if not quote and stop and text[stop - 1] in "\"'":  # os.environ["NAME"] = ...
             stop -= 1
     start = stop
-    while start and stop - start < NAME_LENGTH and (text[start - 1].isalnum() or text[start - 1] in "_.-$"):
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_.-$"):
         start -= 1
     return text[start:stop]
 
