@@ -9,7 +9,7 @@
    in each block. A query visits blocks by falling upper bound and stops when no block can reach
    its k-th best, so its nearest examples are exact.
 4. Votes of the k nearest, weighted by cosine so that far ones hardly count, are calibrated on the examples (each against the
-   others) by isotonic regression. Texts without any term share the rate of label 1 among the
+   others) by isotonic regression, each weighted by the labelled rows that it stands for. Texts without any term share the rate of label 1 among the
    sampled rows without any.
 """
 
@@ -116,20 +116,24 @@ class BlockMaxIndex:
         return (float((cosines * self.labels[rows]).sum() / k) if len(rows) else math.nan), rows, cosines
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the rising function nearest to y: right ends and values, smoothed by half a count of each label."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the rising function nearest to y: right ends and values, smoothed by half an example of each label.
+
+    `weight` says how many rows an example of label 0 and of label 1 stands for.
+    """
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
     for i in order:
+        own = weight[int(y[i])]
         if blocks and blocks[-1][2] == x[i]:
-            blocks[-1][0] += y[i]
-            blocks[-1][1] += 1
+            blocks[-1][0] += own * y[i]
+            blocks[-1][1] += own
         else:
-            blocks.append([float(y[i]), 1.0, float(x[i])])
+            blocks.append([float(own * y[i]), float(own), float(x[i])])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] and blocks[-2][2] < blocks[-1][2]:
             s, n, end = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, end]
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5 * weight[1]) / (b[1] + 0.5 * sum(weight)) for b in blocks])
 
 
 def unit(ids: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,13 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, positiv
     number = {int(d): i for i, d in enumerate(index.ids)}
     votes = [(index.vote(*unit(r["terms"], r["counts"], idf), k, without=number[int(r["doc_id"])])[0], r["label"]) for r in seen]
     votes = [(v, y) for v, y in votes if not math.isnan(v)]
-    steps = isotonic(np.array([v for v, _ in votes]), np.array([float(y) for _, y in votes])) if votes else (np.array([1.0]), np.array([0.5]))
-    # the classes are sampled apart: the rate among rows without a term is weighted back
+    # the classes are sampled apart: each example stands for as many labelled rows of its class as one was chosen from
     of = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sampled = Counter(r["label"] for r in rows)
+    weight = tuple(of.get(y, 0) / max(1, min(of.get(y, 0), most)) for y, most in ((0, negatives), (1, positives)))
+    steps = isotonic(np.array([v for v, _ in votes]), np.array([float(y) for _, y in votes]), weight) if votes else (np.array([1.0]), np.array([0.5]))
     without = Counter(r["label"] for r in rows if not r["terms"])
-    weight = {y: without[y] * of.get(y, 0) / sampled[y] if sampled[y] else 0.0 for y in (0, 1)}
-    none = weight[1] / (weight[0] + weight[1]) if weight[0] + weight[1] else 0.0
+    none = weight[1] * without[1] / total if (total := weight[0] * without[0] + weight[1] * without[1]) else 0.0
     return Model(index, idf, k, steps, none), terms, vecs
 
 

@@ -79,6 +79,22 @@ def test_held_out_accuracy(labelled):
     assert by[702][0]["evidence"][0]["label"] == 1
 
 
+def test_calibration_weights_the_classes_back(spark):
+    """A term in all toxic texts and in an eighth of the clean ones scores its true rate, however few clean rows are sampled."""
+    draw = random.Random(22)
+    rows, labels = [], []
+    for i in range(1320):
+        toxic = i % 11 == 0
+        rows.append((i, ("zorg " if toxic or draw.random() < 0.12 else "") + "same plain words"))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rate = 120 / sum("zorg" in t for _, t in rows)
+    for negatives in (8192, 240):
+        scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, k=9, negatives=negatives).collect()}
+        found = np.mean([scores[i] for i, t in rows if "zorg" in t])
+        assert abs(found - rate) < 0.1, negatives
+
+
 def test_filter_keeps_clean_rows(labelled):
     docs, labels = labelled
     kept = toxicity.without_toxic(docs.withColumn("extra", F.lit("x")), labels)
