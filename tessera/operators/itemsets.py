@@ -7,6 +7,9 @@ partition holds it at least threshold * baskets there / all baskets times.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count, islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,38 +56,42 @@ def _grown(held: DataFrame, baskets: DataFrame, kept: DataFrame, k: int) -> Data
     return held.join(kept.select(*names), names, "left_semi").join(baskets.withColumnRenamed("item", f"i{k + 1}"), "basket").filter(F.col(f"i{k + 1}") > F.col(f"i{k}"))
 
 
-def frequent(baskets: DataFrame, threshold: int, k: int) -> DataFrame:
-    """(i1..ik, support) of the sets of size k in at least `threshold` baskets.
+def _levels(baskets: DataFrame, threshold: int) -> Iterator[DataFrame]:
+    """(i1..ik, support) of the sets of size k = 1, 2, ... in at least `threshold` baskets.
 
     Level by level, as a set's subsets are as frequent: only items that are frequent alone, and
     sets whose first part is frequent, are counted. A set in `threshold` baskets has `threshold`
     baskets in some partition's share, so this is what partition-local mining ends with too.
     """
     one = baskets.groupBy("item").agg(F.count("*").alias("support")).filter(F.col("support") >= threshold)
-    if k == 1:
-        return one.select(F.col("item").alias("i1"), "support")
+    yield one.select(F.col("item").alias("i1"), "support")
     items = cut(baskets.join(one.select("item"), "item", "left_semi").select("basket", "item"))
     held = items.withColumnRenamed("item", "i1")
     kept = one.select(F.col("item").alias("i1"))
-    for size in range(2, k + 1):
+    for size in count(2):
         held = _grown(held, items, kept, size - 1)
         names = _names(size)
         found = held.groupBy(*names).agg(F.count("*").alias("support")).filter(F.col("support") >= threshold)
-        if size < k:
-            held, found = cut(held), cut(found)
-        kept = found
-    return found.select(*_names(k), "support")
+        yield found.select(*names, "support")
+        held, kept = cut(held), cut(found)
+
+
+def frequent(baskets: DataFrame, threshold: int, k: int) -> DataFrame:
+    """(i1..ik, support) of the sets of size k in at least `threshold` baskets."""
+    return next(islice(_levels(baskets, threshold), k - 1, None))
 
 
-def frequent_sets(baskets: DataFrame, threshold: int, most: int = 3) -> DataFrame:
-    """(k, items, support) of all frequent sets of up to `most` items, until a size has none; items joined by commas."""
+def frequent_sets(baskets: DataFrame, threshold: int, most: int | None = None) -> DataFrame:
+    """(k, items, support) of all frequent sets, until a size has none; items joined by commas. `most` caps the size."""
     out = None
-    for k in range(1, most + 1):
-        found = cut(frequent(baskets, threshold, k))
+    for k, level in enumerate(_levels(baskets, threshold), 1):
+        found = cut(level)
         if found.isEmpty():
             break
         rows = found.select(F.lit(k).alias("k"), F.concat_ws(",", *[F.col(c).cast("string") for c in _names(k)]).alias("items"), "support")
         out = rows if out is None else out.unionByName(rows)
+        if k == most:
+            break
     return out if out is not None else baskets.sparkSession.createDataFrame([], "k int, items string, support long")
 
 
@@ -113,8 +120,8 @@ def candidate_counts(baskets: DataFrame, threshold: int, most: int = 2, partitio
     return out
 
 
-def fpgrowth(baskets: DataFrame, threshold: int, most: int = 2) -> DataFrame:
-    """(items, support) by FP-growth, sets of up to `most` items, items in order and joined by commas.
+def fpgrowth(baskets: DataFrame, threshold: int, most: int | None = None) -> DataFrame:
+    """(items, support) of all frequent sets by FP-growth, items in order and joined by commas. `most` caps the size.
 
     The threshold is a share there; half a basket less than the threshold keeps rounding out of it.
     """
@@ -125,4 +132,6 @@ def fpgrowth(baskets: DataFrame, threshold: int, most: int = 2) -> DataFrame:
     if not total:
         return baskets.sparkSession.createDataFrame([], "items string, support long")
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (threshold - 0.5) / total))).fit(sets).freqItemsets
-    return found.filter(F.size("items") <= most).select(F.array_join(F.transform(F.array_sort("items"), lambda i: i.cast("string")), ",").alias("items"), F.col("freq").alias("support"))
+    if most is not None:
+        found = found.filter(F.size("items") <= most)
+    return found.select(F.array_join(F.transform(F.array_sort("items"), lambda i: i.cast("string")), ",").alias("items"), F.col("freq").alias("support"))

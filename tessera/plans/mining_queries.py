@@ -36,10 +36,12 @@ QUERIES = {
     "frequent_k2": lambda s, d: itemsets.frequent(tables.baskets(s, d), PAIRS, 2),
     "frequent_k3": lambda s, d: itemsets.frequent(tables.baskets(s, d), TRIPLES, 3),
     "frequent_sets": lambda s, d: itemsets.frequent_sets(tables.baskets(s, d), PAIRS, 2).groupBy("k").agg(F.count("*").alias("n"), F.sum("support").alias("support")),
+    "frequent_sets_all": lambda s, d: itemsets.frequent_sets(tables.baskets(s, d), PAIRS).groupBy("k").agg(F.count("*").alias("n"), F.sum("support").alias("support")),
     "son_candidates_k1": lambda s, d: itemsets.candidates(tables.baskets(s, d), PAIRS, 1, SHARDS),
     "son_candidates_k2": lambda s, d: itemsets.candidates(tables.baskets(s, d), PAIRS, 2, SHARDS),
     "son_candidate_counts": lambda s, d: itemsets.candidate_counts(tables.baskets(s, d), PAIRS, 2, SHARDS),
-    "frequent_fpgrowth": lambda s, d: itemsets.fpgrowth(tables.baskets(s, d), PAIRS),
+    "frequent_fpgrowth": lambda s, d: itemsets.fpgrowth(tables.baskets(s, d), PAIRS, 2),
+    "frequent_fpgrowth_all": lambda s, d: itemsets.fpgrowth(tables.baskets(s, d), PAIRS),
     "dense_index": lambda s, d: similarity.dense_index(_sets(s, d), "item"),
     "minhash_signatures": lambda s, d: _signed(s, d).select("user_id", F.posexplode("sig").alias("i", "h")),
     "lsh_candidates": lambda s, d: similarity.band_candidates(_signed(s, d)),
@@ -54,6 +56,13 @@ _C1 = f"WITH b AS ({BASKETS_SQL}), shares AS ({_SHARES}) SELECT DISTINCT i1 FROM
 _C2 = f"WITH b AS ({BASKETS_SQL}), shares AS ({_SHARES}) SELECT DISTINCT i1, i2 FROM (SELECT x.basket % {SHARDS} AS pid, x.item AS i1, y.item AS i2, count(*) AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY ALL) JOIN shares USING (pid) WHERE n * total >= {PAIRS} * own"
 _F1 = f"SELECT item AS i1, count(*) AS support FROM ({BASKETS_SQL}) GROUP BY item HAVING count(*) >= {PAIRS}"
 _F2 = f"WITH b AS ({BASKETS_SQL}) SELECT x.item AS i1, y.item AS i2, count(*) AS support FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY ALL HAVING count(*) >= {PAIRS}"
+#: every frequent set as its items in order, grown until a size has none
+_ALL = f"""WITH RECURSIVE b AS ({BASKETS_SQL}), one AS ({_F1}), level(k, items, baskets) AS (
+SELECT 1, [item], list(basket) FROM b WHERE item IN (SELECT i1 FROM one) GROUP BY item
+UNION ALL
+SELECT level.k + 1, list_append(level.items, o.item), list_intersect(level.baskets, o.own) FROM level JOIN (SELECT item, list(basket) AS own FROM b WHERE item IN (SELECT i1 FROM one) GROUP BY item) o ON o.item > level.items[-1]
+WHERE len(list_intersect(level.baskets, o.own)) >= {PAIRS})
+SELECT CAST(k AS INTEGER) AS k, array_to_string(items, ',') AS items, len(baskets) AS support FROM level"""
 _COEF = ", ".join(f"({i}, {a1}::BIGINT, {b1}::BIGINT, {a2}::BIGINT, {b2}::BIGINT)" for i, (a1, b1, a2, b2) in enumerate(similarity.coefficients()))
 _INDEX = f"SELECT item, row_number() OVER (ORDER BY encode(item)) - 1 AS index FROM (SELECT DISTINCT item FROM ({URL_SETS_SQL}))"
 _SIGS = f"""
@@ -73,10 +82,12 @@ ORACLES = {
     "frequent_k2": _F2,
     "frequent_k3": f"WITH b AS (SELECT basket, item FROM ({BASKETS_SQL}) WHERE item IN ({_ONE.format(t=TRIPLES)})) SELECT x.item AS i1, y.item AS i2, z.item AS i3, count(*) AS support FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item JOIN b z ON z.basket = y.basket AND y.item < z.item GROUP BY ALL HAVING count(*) >= {TRIPLES}",
     "frequent_sets": f"SELECT CAST(1 AS INTEGER) AS k, count(*) AS n, CAST(sum(support) AS BIGINT) AS support FROM ({_F1}) HAVING count(*) > 0 UNION ALL SELECT 2, count(*), CAST(sum(support) AS BIGINT) FROM ({_F2}) HAVING count(*) > 0",
+    "frequent_sets_all": f"SELECT k, count(*) AS n, CAST(sum(support) AS BIGINT) AS support FROM ({_ALL}) GROUP BY k",
     "son_candidates_k1": _C1,
     "son_candidates_k2": _C2,
     "son_candidate_counts": f"SELECT CAST(1 AS INTEGER) AS k, (SELECT count(*) FROM ({_C1})) AS n_candidates, (SELECT count(*) FROM ({_F1})) AS n_frequent UNION ALL SELECT 2, (SELECT count(*) FROM ({_C2})), (SELECT count(*) FROM ({_F2}))",
     "frequent_fpgrowth": f"SELECT CAST(i1 AS VARCHAR) AS items, support FROM ({_F1}) UNION ALL SELECT i1 || ',' || i2, support FROM ({_F2})",
+    "frequent_fpgrowth_all": f"SELECT items, support FROM ({_ALL})",
     "dense_index": _INDEX,
     "minhash_signatures": _SIGS,
     "lsh_candidates": _CANDIDATES,

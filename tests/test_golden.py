@@ -52,6 +52,15 @@ def test_frequent_sets(baskets):
     assert rows(itemsets.fpgrowth(baskets, 3)) == [("a", 5), ("a,b", 4), ("b", 5), ("c", 3)]
 
 
+def test_frequent_sets_of_every_size(spark):
+    table = spark.createDataFrame([(i, x) for i in range(3) for x in "abcde"] + [(3, "a")], "basket long, item string")
+    sizes = {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
+    found = rows(itemsets.frequent_sets(table, 3))
+    assert {k: sum(r[0] == k for r in found) for k in sizes} == sizes and len(found) == 31
+    assert sorted(r[1:] for r in found) == rows(itemsets.fpgrowth(table, 3))
+    assert {r[0] for r in rows(itemsets.frequent_sets(table, 3, 2))} == {1, 2}
+
+
 def test_candidates(baskets):
     assert rows(itemsets.candidates(baskets, 3, 1, 2)) == [("a",), ("b",), ("c",), ("d",)]
     assert rows(itemsets.candidates(baskets, 3, 2, 2)) == [("a", "b"), ("a", "c"), ("a", "d")]
