@@ -209,3 +209,24 @@ def test_neighbours_are_bm25(monkeypatch, dense):
     assert order == sorted(range(25), key=lambda d: (-index.scores(0)[d], d))
     first = packing.packed([np.array([1, 2, 3]), np.array([9, 9]), np.array([1, 2, 3, 4])], 5)[0]
     assert first == [(0, 0, 3), (2, 0, 2)]
+
+
+def test_like_documents_share_windows(spark):
+    """Families of texts over many shards: pieces of a window come from one family, not from what a shard happens to hold."""
+    draw = random.Random(51)
+    families = [["".join(draw.choice("abcdefghilmnoprstuv") for _ in range(7)) for _ in range(12)] for _ in range(16)]
+    rows = [(i, " ".join(draw.choice(families[i % 16]) for _ in range(6))) for i in range(512)]
+    windows = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, window=128, shard=32).collect():
+        windows[r["sequence_id"]].append(r["doc_id"] % 16)
+    alike = [a == b for own in windows.values() for a, b in zip(own, own[1:])]
+    assert sum(alike) >= 0.7 * len(alike)
+
+
+def test_bm25_with_frequencies_of_all_texts():
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 30, draw.integers(1, 40)) for _ in range(40)]
+    everywhere = np.array([sum(t in x for x in texts) for t in range(30)])
+    whole, part = packing.BM25(texts), packing.BM25(texts[:15], (40, np.mean([len(t) for t in texts]), everywhere))
+    for q in range(15):
+        assert np.allclose(whole.scores(q)[:15], part.scores(q), rtol=1e-4)
