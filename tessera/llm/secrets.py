@@ -38,11 +38,13 @@ NAME_SCORES = {
 }
 #: Values that only hold a place.
 PLACEHOLDERS = frozenset({"changeme", "example", "none", "null", "true", "false", "password", "secret", "token", "undefined", "redacted", "placeholder", "your_password"})
+_LONGEST = max(map(len, PLACEHOLDERS))
 #: Parts of names, lower-cased with `_`, `-`, `.` and `$` left out; a text without any, read so too, has no sensitive name.
 _HINTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "connection")
-_OPERATOR = re.compile(r"[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*")
-_TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s,;"'`{}\[\]()<>+]+))""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_OPERATOR = re.compile(r"(?::=|=>|(?<![=!<>])=(?!=)|:(?![:/]))[ \t]*")
+_QUOTED = re.compile(r"""[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
+_PLAIN = re.compile(r"""[^\s,;"'`{}\[\]()<>+]+""")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*")
 _ELEMENT = re.compile(r"<([A-Za-z][\w.-]*+)>([^<>\n]++)</\1>")
 _NAME = re.compile(r"[A-Za-z_$][\w$.-]*\Z")
 THRESHOLD = 0.6
@@ -67,20 +69,82 @@ def name_score(name: str) -> float:
 
 def literal_score(literal: str) -> float:
     """How much a literal looks like a secret: 0 for placeholders and references, more with length and mixture."""
-    plain = literal.strip()
-    if len(plain) < 6 or plain.lower() in PLACEHOLDERS or plain[0] in "$<{%" or len({*plain}) < 4 or " " in plain:
-        return 0.0
-    counts = [n / len(plain) for n in Counter(plain).values()]
-    entropy = -sum(p * math.log2(p) for p in counts)
-    mixed = sum(bool(re.search(p, plain)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.4 + 0.1 * entropy + 0.1 * (mixed - 1))
+    return tail_scores(literal, 0, len(literal), [0])[0]
+
+
+_CLASSES = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")))
+
+
+def tail_scores(text: str, first: int, end: int, starts: list[int]) -> dict[int, float]:
+    """The scores of the literals that begin at `starts`, ascending from `first`, and all end at `end`; the text is read once."""
+    while end > first and text[end - 1].isspace():
+        end -= 1
+    seen: Counter = Counter()
+    found, bits, at = {}, 0.0, end  # bits: the sum of n log2(n) over the counts
+    mixed = [False] * len(_CLASSES)
+    for start in reversed(starts):
+        piece = text[start:at]
+        for c, n in Counter(piece).items():
+            had = seen[c]
+            seen[c] = had + n
+            bits += (had + n) * math.log2(had + n) - (had * math.log2(had) if had else 0.0)
+        mixed = [m or bool(p.search(piece)) for m, p in zip(mixed, _CLASSES)]
+        at = start
+        begin = start
+        while begin < end and text[begin].isspace():
+            begin += 1
+        size = end - begin
+        if size < 6 or text[begin] in "$<{%" or (size <= _LONGEST and text[begin:end].lower() in PLACEHOLDERS):
+            found[start] = 0.0
+            continue
+        # white space before the literal is no part of it
+        own, total = (seen, bits) if begin == start else (own := Counter(text[begin:end]), sum(n * math.log2(n) for n in own.values()))
+        kinds = mixed if begin == start else [bool(p.search(text, begin, end)) for p in _CLASSES]
+        if len(own) < 4 or " " in own:
+            found[start] = 0.0
+            continue
+        found[start] = min(1.0, 0.4 + 0.1 * (math.log2(size) - total / size) + 0.1 * (sum(kinds) - 1))
+    return found
+
+
+class Term:
+    """One term of a right side: its literal, whether that is a name, and where the term after a `+` begins (-1 without)."""
+
+    def __init__(self, start: int, end: int, name: str, after: int):
+        self.start, self.end, self.name, self.after = start, end, name, after
+
+
+class Terms:
+    """The terms of a text by where they begin; each stretch of text is read once, however many terms end with it."""
 
+    def __init__(self, text: str):
+        self.text, self.at = text, {}
+        self.run = (0, 0, -1)  # the plain run read last, and what follows it
+        self.runs: dict[int, list[int]] = {}  # starts of plain terms by end
 
-class Pair:
-    """A target name with the literals and names on its right side."""
+    def get(self, at: int) -> Term | None:
+        if at not in self.at:
+            self.at[at] = self._read(at)
+        return self.at[at]
 
-    def __init__(self, name: str, literals: list[tuple[int, int]], names: list[str]):
-        self.name, self.literals, self.names = name, literals, names
+    def _after(self, end: int) -> int:
+        plus = _PLUS.match(self.text, end)
+        return plus.end() if plus else -1
+
+    def _read(self, at: int) -> Term | None:
+        if quoted := _QUOTED.match(self.text, at):
+            return Term(*quoted.span(quoted.lastindex), "", self._after(quoted.end()))
+        start, end, after = self.run
+        if not start <= at < end:
+            plain = _PLAIN.match(self.text, at)
+            if not plain:
+                return None
+            end = plain.end()
+            after = self._after(end)
+            self.run = (at, end, after)
+        name = _NAME.match(self.text, at, end)
+        self.runs.setdefault(end, []).append(at)
+        return Term(at, end, name[0] if name else "", after)
 
 
 def _target(text: str, end: int) -> str:
@@ -97,55 +161,79 @@ def _target(text: str, end: int) -> str:
     return text[start:stop]
 
 
-def pairs(text: str) -> list[Pair]:
-    """The name-literal pairs of source or configuration text, in order."""
-    found = []
+def pairs(text: str) -> tuple[list[tuple[str, int]], Terms]:
+    """The target names of source or configuration text, each with where its right side's terms begin."""
+    found, terms = [], Terms(text)
     for m in _OPERATOR.finditer(text):
-        name = _target(text, m.start())
-        if not name or not (name[0].isalpha() or name[0] in "_$"):
-            continue
-        literals, names, at = [], [], m.end()
-        while term := _TERM.match(text, at):
-            group = term.lastindex
-            if group == 4 and _NAME.match(term[4]):
-                names.append(term[4])
-                literals.append(term.span(4)) if not names[1:] and not literals else None
-            else:
-                literals.append(term.span(group))
-            plus = _PLUS.match(text, term.end())
-            at = plus.end() if plus else term.end()
-            if not plus:
-                break
-        found.append(Pair(name, literals, names))
-    found += [Pair(m[1], [m.span(2)], []) for m in _ELEMENT.finditer(text)]
-    return found
+        end = m.start()
+        while end and text[end - 1] in " \t":
+            end -= 1
+        name = _target(text, end)
+        if name and (name[0].isalpha() or name[0] in "_$"):
+            found.append((name, m.end()))
+    return found, terms
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Literals that sensitive names come to hold, directly or through other names."""
+    """Literals that sensitive names come to hold, directly or through other names.
+
+    Names are followed from the most sensitive one on, and each pair, name and term is visited
+    once, by the highest score that reaches it; so the work grows with the text.
+    """
     low = text.lower().replace("_", "").replace("-", "").replace(".", "").replace("$", "")
     if not any(h in low for h in _HINTS) or not ("=" in text or ":" in text or "</" in text):
         return []
-    found = pairs(text)
-    own: dict[str, list[Pair]] = {}
-    for p in found:
-        own.setdefault(p.name, []).append(p)
-    spans = set()
-    for p in found:
-        if not (score := name_score(p.name)):
-            continue
-        seen, todo = {p.name}, [p]
-        while todo:  # a constant's names are followed to what they hold
-            now = todo.pop()
-            known = [n for n in now.names if n in own]
-            for n in known:
-                if n not in seen:
-                    seen.add(n)
-                    todo += own[n]
-            for s, e in now.literals:
-                if text[s:e] not in known and score * literal_score(text[s:e]) >= threshold:
-                    spans.add((s, e))
-    return sorted(spans)
+    found, terms = pairs(text)
+    own: dict[str, list[int]] = {}
+    for name, at in found:
+        own.setdefault(name, []).append(at)
+    elements = [(m[1], m.span(2)) for m in _ELEMENT.finditer(text)]
+    held: dict[str, list[tuple[int, int]]] = {}  # what elements of a name hold
+    for name, span in elements:
+        held.setdefault(name, []).append(span)
+    scores = sorted(((score, name) for name in own.keys() | held.keys() if (score := name_score(name))), reverse=True)
+    best: dict[tuple[int, int], float] = {}
+    firsts: set[int] = set()
+    later: set[int] = set()
+    names: set[str] = set()
+    for score, sensitive in scores:
+        todo = [sensitive]
+        while todo:
+            name = todo.pop()
+            if name in names:
+                continue
+            names.add(name)
+            for span in held.get(name, ()):
+                best.setdefault(span, score)
+            for at in own.get(name, ()):
+                first = True
+                # a name that starts a right side may be a literal as well, unless the text defines it
+                while at >= 0 and at not in (firsts if first else later) and (term := terms.get(at)):
+                    (firsts if first else later).add(at)
+                    known = term.name in own or term.name in held
+                    if term.name and known:
+                        todo.append(term.name)
+                    if not term.name or (first and not known):
+                        best.setdefault((term.start, term.end), score)
+                    at, first = term.after, False
+    # plain literals that end together are scored in one go
+    scored: dict[tuple[int, int], float] = {}
+    for end, starts in terms.runs.items():
+        wanted = sorted(s for s in {*starts} if (s, end) in best)
+        if wanted:
+            scored |= {(s, end): v for s, v in tail_scores(text, wanted[0], end, wanted).items()}
+    return sorted(span for span, score in best.items() if score * (scored[span] if span in scored else literal_score(text[span[0] : span[1]])) >= threshold)
+
+
+def _uncovered(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that lie in no base span; both come sorted."""
+    reach, at = -1, 0
+    for s, e in spans:
+        while at < len(base) and base[at][0] <= s:
+            reach = max(reach, base[at][2])
+            at += 1
+        if e > reach:
+            yield s, e
 
 
 def secret_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -153,7 +241,7 @@ def secret_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[i
     if not text:
         return []
     base = base_spans(text)
-    added = [(s, 3, e) for s, e in literal_spans(text, threshold) if not any(b <= s and e <= f for b, _, f in base)]
+    added = [(s, 3, e) for s, e in _uncovered(literal_spans(text, threshold), base)]
     return sorted(base + added)
 
 
@@ -176,7 +264,7 @@ def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
 
     Spans are `kind:start:end` in code points, end exclusive, ordered by start and then kind.
     Null and empty texts have none; null ids stay; repeated rows each give a row; an empty table
-    gives none; other columns are not read. Texts of any length are scanned whole.
+    gives none; other columns are not read. Texts of any length are scanned whole, in time that grows with the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
