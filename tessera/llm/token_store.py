@@ -3,12 +3,16 @@
 Rolling hashes over the ids cut each document's stream into chunks at places that the content
 chooses, so equal passages give equal chunks wherever they stand. A chunk is stored once under the
 digest of its bytes; a document is a recipe, the list of its chunks' digests, whose Merkle root
-names its content; a manifest holds the roots of the recipe files. Reading checks every chunk
-against its digest, every recipe against its root and every file against the manifest.
+names its content. Each recipe's id, place, size and root make a leaf; the leaves of a recipe file
+in order make its Merkle root, and the files' roots, starts and sizes that of the manifest.
+Reading checks every chunk against its digest, every recipe against its root, every file against
+the manifest and the manifest against its own root.
 
 Files, all Parquet in one folder: `blocks/kind=chunk` (digest, payload: ids as little-endian
-integers of the manifest's width), `recipes` (doc_id ascending, start, n_tokens, root, recipe:
-16-byte digests one after another), `manifest` (part, tokens, docs, start, root, width).
+integers of the manifest's width), `recipes` (part, doc_id ascending, row in the part, local: ids
+of the part before it, n_tokens, root, recipe: 16-byte digests one after another), `manifest`
+(part, start, tokens, docs, width in bytes, tree: root over the part's leaves, root: over the
+row; part -1 has the sums and the root over the other rows).
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ RARE = 9  #: bits of the rolling hash that are zero at a cut: a chunk has LEAST
 SPAN = 16  #: ids in the rolling hash's window
 TOGETHER = 300_000  #: ids that are cut at once
 DIGEST = 16
+LEAVES = 4096  #: leaves that are put together at once, a power of two; a file's tree is made of such subtrees
 RECENT = 50_000  #: digests a task remembers, not to send a chunk again
 
 #: Odd multipliers of the hash; any would do.
@@ -169,50 +174,95 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int | None = No
     dealt.mapInArrow(_once, shape).withColumn("kind", F.when(F.col("digest").isNull(), "recipe").otherwise("chunk")).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/blocks")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part = 0, TaskContext.get().partitionId()
+        at, row, part = 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             sizes = np.asarray(batch.column("n_tokens").to_numpy(zero_copy_only=False), np.int64)
             ends = at + np.cumsum(sizes)
             starts = ends - sizes
             at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part), pa.int32()), batch.column("doc_id"), pa.array(starts, pa.int64()), batch.column("n_tokens"), batch.column("root"), batch.column("recipe")], ["part", "doc_id", "local", "n_tokens", "root", "recipe"])
+            rows = np.arange(row, row + len(sizes))
+            row += len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part), pa.int32()), batch.column("doc_id"), pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), batch.column("n_tokens"), batch.column("root"), batch.column("recipe")], ["part", "doc_id", "row", "local", "n_tokens", "root", "recipe"])
 
+    recipe = f"part int, doc_id {kind}, row long, local long, n_tokens long, root binary, recipe binary"
     raw = _blocks(spark, folder, shape).filter("kind = 'recipe'").select("doc_id", "n_tokens", "root", "recipe")
     ordered = raw.repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    ordered.mapInArrow(placed, f"part int, doc_id {kind}, local long, n_tokens long, root binary, recipe binary").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    ordered.mapInArrow(placed, recipe).write.option("compression", "zstd").parquet(f"{folder}/recipes")
     remove_folder(spark, f"{folder}/blocks/kind=recipe")
-    recipes = spark.read.schema(f"part int, doc_id {kind}, local long, n_tokens long, root binary, recipe binary").parquet(f"{folder}/recipes")
-    sums = sorted((r["part"], r["tokens"], r["docs"], r["check"]) for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("local", "root")).alias("check")).collect())  # a row for each file
+    width = 4 if max(end_id or 0, *tokens.vocabulary(path).names) >= 1 << 16 else 2
     start, parts = 0, []
-    for part, n, count, check in sums:
-        parts.append((part, start, n, count, check, merkle([part.to_bytes(4, "little"), start.to_bytes(8, "little"), n.to_bytes(8, "little"), check.to_bytes(8, "little", signed=True)])))
-        start += n
-    parts.append((-1, 0, start, sum(s[2] for s in sums), 0, merkle([p[5] for p in parts])))
-    spark.createDataFrame(parts, "part int, start long, tokens long, docs long, check long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+    for r in _trees(spark.read.schema(recipe).parquet(f"{folder}/recipes")):
+        parts.append((r["part"], start, r["tokens"], r["docs"], width, bytes(r["tree"])))
+        start += r["tokens"]
+    roots = [_row_root(*p) for p in parts]
+    total = (-1, 0, start, sum(p[3] for p in parts), width, merkle(roots))
+    spark.createDataFrame([(*p, r) for p, r in zip([total, *parts], [_row_root(*total), *roots])], "part int, start long, tokens long, docs long, width int, tree binary, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def _row_root(part: int, start: int, tokens_: int, docs: int, width: int, tree: bytes) -> bytes:
+    return digest(b"".join(v.to_bytes(8, "little", signed=True) for v in (part, start, tokens_, docs, width)) + bytes(tree))
+
+
+def _trees(recipes: DataFrame) -> list:
+    """For each recipe file: part, tokens, docs and the Merkle root over its leaves; a row a file comes to the driver.
+
+    Leaves go by LEAVES into subtrees, and those into the file's tree, so no task holds a file.
+    """
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "local", "n_tokens", "root")))
+            own = [digest(repr(i).encode() + b"".join(v.to_bytes(8, "little", signed=True) for v in (row, local, n)) + root) for i, row, local, n, root in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("row"), batch.column("n_tokens"), pa.array(own, pa.binary())], ["part", "row", "n", "leaf"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees, whole = [], []
+            for own in batch.column("own").to_pylist():
+                # rows count up without a gap, from a subtree's first
+                whole.append(all(b["at"] == a["at"] + 1 for a, b in zip(own, own[1:])))
+                trees.append(merkle([x["leaf"] for x in own]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "at", "n", "docs")), pa.array([t if ok else b"" for t, ok in zip(trees, whole)], pa.binary())], ["part", "at", "n", "docs", "leaf"])
+
+    found = recipes.select("part", "doc_id", "row", "local", "n_tokens", "root").mapInArrow(leaves, "part int, row long, n long, leaf binary")
+    block = F.floor(F.col("row") / LEAVES)
+    of = lambda at: F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), "leaf"))).alias("own")
+    shape = "part int, at long, n long, docs long, leaf binary"
+    small = found.groupBy("part", block.alias("at")).agg(F.sum("n").alias("n"), F.count("*").alias("docs"), of("row")).mapInArrow(joined, shape)
+    large = small.groupBy("part").agg(F.lit(0).cast("long").alias("at"), F.sum("n").alias("n"), F.sum("docs").alias("docs"), of("at")).mapInArrow(joined, shape)
+    return large.select("part", F.col("n").alias("tokens"), "docs", F.col("leaf").alias("tree")).orderBy("part").collect()
 
 
 def _blocks(spark: SparkSession, folder: str, shape: str = "digest binary, payload binary") -> DataFrame:
     return spark.read.schema(f"{shape}, kind string").parquet(f"{folder}/blocks")
 
 
-def _manifest(spark: SparkSession, folder: str) -> list:
-    """The manifest's rows but the last, checked against its root."""
+def _manifest(spark: SparkSession, folder: str) -> tuple[list, int]:
+    """The manifest's rows but the total, and the ids' width; all checked against the total's root."""
     rows = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()  # a row for each recipe file
-    top, parts = rows[0], rows[1:]
-    if bytes(top["root"]) != merkle([bytes(p["root"]) for p in parts]) or any(bytes(p["root"]) != merkle([p["part"].to_bytes(4, "little"), p["start"].to_bytes(8, "little"), p["tokens"].to_bytes(8, "little"), p["check"].to_bytes(8, "little", signed=True)]) for p in parts):
+    total, parts = rows[0], rows[1:]
+    start = 0
+    whole = total["part"] == -1 and total["width"] in (2, 4) and bytes(total["tree"]) == merkle([bytes(p["root"]) for p in parts])
+    for p in rows:
+        whole = whole and bytes(p["root"]) == _row_root(p["part"], p["start"], p["tokens"], p["docs"], p["width"], p["tree"]) and p["width"] == total["width"]
+    for p in parts:
+        whole = whole and p["start"] == start
+        start += p["tokens"]
+    if not whole or total["tokens"] != start or total["docs"] != sum(p["docs"] for p in parts):
         raise ValueError("the manifest doesn't match its root")
-    return parts
+    return parts, total["width"]
 
 
-def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, root, recipe), start counting the ids of all documents before."""
-    parts = _manifest(spark, folder)
+def read_recipes(spark: SparkSession, folder: str) -> tuple[DataFrame, np.dtype]:
+    """(doc_id, start, n_tokens, root, recipe), start counting the ids of all documents before; and the ids' type."""
+    parts, width = _manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
-    got = {r["part"]: r["check"] for r in recipes.groupBy("part").agg(F.bit_xor(F.xxhash64("local", "root")).alias("check")).collect()}
-    if got != {p["part"]: p["check"] for p in parts}:
+    got = [(r["part"], r["tokens"], r["docs"], bytes(r["tree"])) for r in _trees(recipes)]
+    if got != [(p["part"], p["tokens"], p["docs"], bytes(p["tree"])) for p in parts]:
         raise ValueError("a recipe file doesn't match the manifest")
     starts = spark.createDataFrame([(p["part"], p["start"]) for p in parts], "part int, first long")
-    return recipes.join(F.broadcast(starts), "part").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "root", "recipe")  # a row for each recipe file
+    placed = recipes.join(F.broadcast(starts), "part").select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "root", "recipe")  # a row for each recipe file
+    return placed, np.dtype(f"<u{width}")
 
 
 def _chunk_rows(recipes: DataFrame) -> DataFrame:
@@ -239,9 +289,9 @@ def _checked(data: bytes, name: bytes) -> bytes:
     return data
 
 
-def read_documents(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFrame:
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document rebuilt from its chunks."""
-    recipes = read_recipes(spark, folder)
+    recipes, dtype = read_recipes(spark, folder)
     chunks = _blocks(spark, folder).filter("kind = 'chunk'").select("digest", "payload")
     whole = _chunk_rows(recipes).join(chunks, "digest", "left").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "payload"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
@@ -293,12 +343,13 @@ def crc_joined(crcs: np.ndarray, following: np.ndarray, sizes: np.ndarray, table
     return out ^ following.astype(np.uint32)
 
 
-def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFrame:
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files.
 
     The CRC over a document's ids as little-endian unsigned 32-bit integers is put together from
     its chunks' CRCs, so that no payload is moved: each chunk is read and checked where it lies.
     """
+    recipes, dtype = read_recipes(spark, folder)
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +381,6 @@ def read_digests(spark: SparkSession, folder: str, dtype: str = "<u2") -> DataFr
                 raise ValueError("a document's chunks don't add up")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(total.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    recipes = read_recipes(spark, folder)
     kind = recipes.schema["doc_id"].dataType.simpleString()
     chunks = _blocks(spark, folder).filter("kind = 'chunk'").select("digest", "payload").mapInArrow(chunk, "digest binary, n long, crc long")
     parts = _chunk_rows(recipes).join(chunks, "digest", "left").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "crc"))).alias("parts"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, packing, token_counts, token_store, tokens
@@ -114,13 +116,51 @@ def test_store_notices_damage(spark, odd):
     rows = spark.read.parquet(f"{folder}/recipes").collect()
     other = [tuple(r)[:-1] + (bytes(reversed(r["recipe"])),) if len(r["recipe"]) > 64 else tuple(r) for r in rows]
     spark.createDataFrame(other, spark.read.parquet(f"{folder}/recipes").schema).write.mode("overwrite").parquet(f"{folder}/recipes2")
-    from pyspark.sql import functions as F
-
     bad = spark.read.parquet(f"{folder}/recipes2").select("doc_id", F.col("local").alias("start"), "n_tokens", "root", "recipe")
     with pytest.raises(Exception, match="root"):
         token_store._chunk_rows(bad).collect()
 
 
+def _rewritten(spark, folder, name, change):
+    """A copy of the store with one of its tables changed."""
+    copy = new_folder(spark, "test")
+    shutil.copytree(folder, copy)
+    shutil.rmtree(f"{copy}/{name}")
+    change(spark.read.parquet(f"{folder}/{name}")).coalesce(1).write.parquet(f"{copy}/{name}")
+    return copy
+
+
+def test_store_notices_changes(spark, odd):
+    folder = new_folder(spark, "test")
+    token_store.write_store(odd.filter("doc_id < 20"), WORD, folder, end_id=2)
+    assert token_store.read_digests(spark, _rewritten(spark, folder, "recipes", lambda d: d)).count() == odd.filter("doc_id < 20").count()
+    recipes = {
+        "swapped ids": lambda d: d.withColumn("doc_id", F.when(F.col("doc_id") == 3, 4).when(F.col("doc_id") == 4, 3).otherwise(F.col("doc_id"))),
+        "a changed id": lambda d: d.withColumn("doc_id", F.when(F.col("doc_id") == 3, 300).otherwise(F.col("doc_id"))),
+        "a null id": lambda d: d.withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id"))),
+        "changed starts": lambda d: d.withColumn("local", F.col("local") + F.when(F.col("doc_id") == 3, 1).otherwise(0)),
+        "changed sizes": lambda d: d.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 3, 1).when(F.col("doc_id") == 4, -1).otherwise(0)),
+        "a dropped recipe": lambda d: d.filter("doc_id <> 3"),
+        "an added recipe": lambda d: d.unionByName(d.filter("doc_id = 3")),
+        "two added recipes": lambda d: d.unionByName(d.filter("doc_id = 3")).unionByName(d.filter("doc_id = 3")),
+        "changed rows": lambda d: d.withColumn("row", F.col("row") + F.when(F.col("doc_id") == 19, 1).otherwise(0)),
+        "an exchanged root": lambda d: d.withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"0" * 16)).otherwise(F.col("root"))),
+        "nothing left": lambda d: d.filter("false"),
+    }
+    for name, change in recipes.items():
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read_digests(spark, _rewritten(spark, folder, "recipes", change))
+            pytest.fail(name)
+    for column, value in (("width", 4), ("start", 1), ("tokens", 9), ("docs", 9), ("tree", F.lit(b"0" * 16)), ("root", F.lit(b"0" * 16))):
+        for part in (-1, 0):
+            change = lambda d: d.withColumn(column, F.when(F.col("part") == part, value).otherwise(F.col(column)).cast(d.schema[column].dataType))  # noqa: B023, E731
+            with pytest.raises(ValueError, match="manifest"):
+                token_store.read_documents(spark, _rewritten(spark, folder, "manifest", change))
+                pytest.fail(column)
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_digests(spark, _rewritten(spark, folder, "manifest", lambda d: d.withColumn("width", F.lit(4))))
+
+
 def test_chunks_follow_content():
     draw = np.random.default_rng(1)
     a, b = draw.integers(0, 40_000, 30_000).astype("<u2"), draw.integers(0, 40_000, 777).astype("<u2")
