@@ -1,12 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Rolling hashes of k words; of every `window` consecutive ones the least is chosen, the rightmost
-of equals, and its position is kept. A passage of at least window + k - 1 words that two texts
-share has a hash chosen in both. Texts with fewer words than k have one gram, the whole text.
+Each word is hashed once; rolling hashes of k words come from them by rotations and exclusive ors
+(a cyclic polynomial), in windows that double, so a gram takes log k steps. Of every `window`
+consecutive grams the least hash is chosen, the rightmost of equals, and its position is kept. A
+passage of at least window + k - 1 words that two texts share has a hash chosen in both. Texts
+with fewer words than k have one gram, the whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,41 +19,81 @@ from tessera.llm.common import table
 GRAM = 5  #: words in a gram
 WINDOW = 8  #: grams in a window
 ROWS = 2000  #: documents in a run of consecutive ids, about
-PLACES = 24  #: bits of a packed long that hold a gram's position; the other bits are its hash
+RUNS = 1_000_000  #: runs whose first keys go into the plan; larger tables have longer runs, not more
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _turned(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+
+def _zipped(a: Column, b: Column, offset: int, join: Callable[[Column, Column], Column]) -> Column:
+    """join(a[i], b[i + offset]) wherever both exist; `a` is no longer than `b`, which is longer than the offset."""
+    n = F.least(F.size(a), F.size(b) - offset)
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, F.lit(offset + 1), n), join)
+
+
+def rolled(words: Column, k: int) -> Column:
+    """Rolling hashes of every k consecutive values of an array<long> of at least k."""
+
+    def grown(now: Column, width: int, bits: str) -> Column:
+        if not bits:
+            return now
+        twice = _zipped(now, now, width, lambda x, y: _turned(x, width).bitwiseXOR(y))
+        if bits[0] == "0":
+            return _let(twice, lambda t: grown(t, 2 * width, bits[1:]))
+        more = lambda t: _zipped(t, words, 2 * width, lambda x, y: _turned(x, 1).bitwiseXOR(y))
+        return _let(twice, lambda t: _let(more(t), lambda m: grown(m, 2 * width + 1, bits[1:])))
+
+    return grown(words, 1, f"{k:b}"[1:])
+
+
+def least(grams: Column, window: int) -> Column:
+    """Of every `window` consecutive grams (hash, position) the one of least hash, the rightmost of equals; at least `window` grams."""
+    right = lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x)
+
+    def grown(now: Column, width: int) -> Column:
+        if width == window:
+            return now
+        step = min(width, window - width)  # the two windows may overlap
+        return _let(_zipped(now, now, step, right), lambda t: grown(t, width + step))
+
+    return grown(grams, 1)
 
 
 def winnow(text: Column, k: int = GRAM, window: int = WINDOW) -> Column:
-    """array<long> of chosen grams in order: hash in the high bits, position counted from the end below.
+    """array<struct<hash: long, position: int>> of the chosen grams, in order.
 
-    Null and empty texts, and those of white space alone, give an empty array. With the position
-    from the end in the low bits, the least packed value is the least hash at its rightmost place.
-    Positions past 2^24 words share the last place number; the choice of hashes stays exact.
+    Null and empty texts, and those of white space alone, give an empty array.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
-    last = (1 << PLACES) - 1
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
 
-    def packed(w: Column) -> Column:
-        n = F.greatest(F.size(w) - (k - 1), F.lit(1))
-        place = lambda i: F.greatest(F.lit(last) - i.cast("long"), F.lit(0).cast("long"))
-        gram = lambda i: F.xxhash64(F.slice(w, i + 1, k))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.shiftleft(F.shiftright(gram(i), PLACES), PLACES).bitwiseOR(place(i)))
+    def grams(w: Column) -> Column:
+        whole = F.array(F.aggregate(w, F.lit(0).cast("long"), lambda h, x: _turned(h, 1).bitwiseXOR(x)))
+        return F.transform(F.when(F.size(w) < k, whole).otherwise(rolled(w, k)), lambda h, i: F.struct(h.alias("hash"), i.alias("position")))
 
-    def chosen(grams: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - (window - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, window))))
+    def chosen(g: Column) -> Column:
+        # a short text is one window; halves meet until one gram is left
+        alone = F.array(F.aggregate(g, F.get(g, F.lit(0)), lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x)))
+        picks = F.when(F.size(g) < window, alone).otherwise(least(g, window))
+        # positions never fall from window to window
+        return _let(picks, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["position"] != F.get(p, i - 1)["position"])))
 
-    # names for what is used more than once: one evaluation each
-    grams = F.transform(F.array(words), packed)
-    picked = F.transform(grams, chosen)
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(picked[0])
+    none = F.array().cast("array<struct<hash: bigint, position: int>>")
+    return _let(hashed, lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams(w), chosen)))
 
 
 def hashes(chosen: Column) -> Column:
-    return F.transform(chosen, lambda p: F.shiftright(p, PLACES))
+    return chosen["hash"]
 
 
 def positions(chosen: Column) -> Column:
-    return F.transform(chosen, lambda p: ((1 << PLACES) - 1 - p.bitwiseAND((1 << PLACES) - 1)).cast("long"))
+    return chosen["position"]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -62,46 +106,56 @@ def likeness(a: Column, b: Column) -> Column:
 
 def spelled(chosen: Column) -> Column:
     """The fingerprint as text: hash:position of each chosen gram, hash in hex, comma-joined; empty without any."""
-    width = (64 - PLACES) // 4
-    one = lambda p: F.concat(F.lower(F.right(F.lpad(F.hex(F.shiftright(p, PLACES)), F.lit(16), F.lit("0")), F.lit(width))), F.lit(":"), ((1 << PLACES) - 1 - p.bitwiseAND((1 << PLACES) - 1)).cast("string"))
+    one = lambda p: F.concat(F.lower(F.lpad(F.hex(p["hash"]), 16, "0")), F.lit(":"), p["position"].cast("string"))
     return F.concat_ws(",", F.transform(chosen, one))
 
 
-def with_next(rows: DataFrame, id_col: str, follow: list[str], order: list[str], run_rows: int = ROWS) -> DataFrame:
+def _openings(keys: DataFrame, run_rows: int) -> list[tuple[int, object, int]]:
+    """The keys (known, id, hash) that open runs of about `run_rows` rows in order, the least key first; RUNS and one a partition at most."""
+    order = [F.col(c) for c in keys.columns]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", inside)
+    return sorted({tuple(r)[:-1] for r in ranged.filter(F.col("_row") % run_rows == 0).collect()})
+
+
+def with_next(rows: DataFrame, id_col: str, text_col: str, follow: list[str], run_rows: int = ROWS) -> DataFrame:
     """`rows` with next_<c> for each c of `follow`: its value in the next row by id, after the last the first row's.
 
-    Ids are cut into runs of consecutive ids at percentiles; the first row of each run is also a
-    last row of the run before. Each run is one window, so nothing is sorted in a single task. Ids
-    are numbers; there are 10,000 runs at most, beyond which runs grow and windows spill.
-    `order` ranks rows of equal id; null ids come first. One row follows itself.
+    Rows go by (null ids first, id, hash of the text), equal ids so by their texts' hashes. A pass
+    over these keys alone finds those that open runs of consecutive rows; whole rows are then
+    shuffled once, each run to one window, so nothing is sorted in a single task and rows of a
+    single id spread over many runs. The rows that open a run are also last rows of the run
+    before. Ids are numbers. Equal rows share a run, whose window spills. One row follows itself.
     """
-    found = rows.agg(F.count("*").alias("n"), F.max(F.col(id_col).isNull()).alias("nulls"), F.min(id_col).alias("least")).first()
-    runs = max(1, min(10_000, found["n"] // run_rows))
-    steps = F.array(*[F.lit(i / runs) for i in range(1, runs)]).cast("array<double>")
-    cuts = (rows.agg(F.percentile_approx(id_col, steps, F.lit(max(10_000, 20 * runs))).alias("c")).first()["c"] or []) if runs > 1 else []
-    # the least id opens the first run, unless null ids do
-    least = found["least"]
-    cuts = sorted({*cuts} - {least} | ({least} - {None} if found["nulls"] else set()))
-    ident, fan = F.col(id_col), 64
-    coarse = cuts[::fan]
-    # the number of cuts at or below the id: first among every 64th, then among the 64 after it
-    if cuts:
-        high = F.size(F.filter(F.array(*map(F.lit, coarse)), lambda c: c <= ident))
-        parts = F.array(*[F.array(*map(F.lit, cuts[i : i + fan])) for i in range(0, len(cuts), fan)])
-        low = F.size(F.filter(F.get(parts, high - 1), lambda c: c <= ident))
-        run = F.when(ident.isNull() | (high == 0), 0).otherwise((high - 1) * fan + low)
-        opens = F.coalesce(F.array_contains(F.get(parts, F.greatest(high - 1, F.lit(0))), ident), F.lit(False))
-    else:
-        run, opens = F.lit(0), F.lit(False)
-    first = ident.isNull() if found["nulls"] else ident == F.lit(least)
-    at = rows.withColumn("_run", run.cast("int"))
-    # a run's opening rows close the run before, the very first rows close the last run
-    copies = F.when(first, F.array(F.col("_run"), F.lit(-len(cuts) - 2))).when(opens, F.array(F.col("_run"), -F.col("_run"))).otherwise(F.array(F.col("_run")))
-    dealt = at.withColumn("_at", F.explode(copies))
-    dealt = dealt.withColumn("_ghost", F.col("_at") < 0).withColumn("_run", F.when(F.col("_at") == -len(cuts) - 2, F.lit(len(cuts))).when(F.col("_at") < 0, -F.col("_at") - 1).otherwise(F.col("_at")))
-    dealt = dealt.withColumn("_round", F.col("_at") == -len(cuts) - 2)
-    inside = Window.partitionBy("_run").orderBy("_ghost", "_round", F.col(id_col).asc_nulls_first(), *order)
-    return dealt.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in follow]).filter(~F.col("_ghost")).drop("_run", "_at", "_ghost", "_round")
+    key = [F.col(id_col).isNotNull().cast("int").alias("_known"), F.coalesce(F.col(id_col), F.lit(0).cast(rows.schema[id_col].dataType)).alias("_id"), F.xxhash64(text_col).alias("_hash")]
+    keys = rows.select(*key)
+    cuts = _openings(keys, max(run_rows, keys.count() // RUNS))
+    kinds = [keys.schema[c].dataType.simpleString() for c in keys.columns]
+    # as one text each: a literal of any length is one call
+    columns = [F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast(f"array<{kind}>") if cuts else F.array().cast(f"array<{kind}>") for i, kind in enumerate(kinds)]
+    own = [F.col(c) for c in keys.columns]
+
+    def reached(at: Column) -> Column:
+        """Whether the opening key of that number is at or before the row's."""
+        known, ident, hashed = (F.get(c, at) for c in columns)
+        return (known < own[0]) | ((known == own[0]) & ((ident < own[1]) | ((ident == own[1]) & (hashed <= own[2]))))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        after, upto = F.struct((mid + 1).alias("low"), s["high"].alias("high")), F.struct(s["low"].alias("low"), mid.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(reached(mid), after).otherwise(upto)
+
+    ends = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    run = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), ends, halved)["low"] - 1
+    at = rows.select("*", *key).withColumn("_run", run)
+    opens = F.coalesce((F.get(columns[0], F.col("_run")) == own[0]) & (F.get(columns[1], F.col("_run")) == own[1]) & (F.get(columns[2], F.col("_run")) == own[2]), F.lit(False))
+    # opening rows close the run before, the very first rows close the last run
+    place = lambda to, ghost: F.struct(to.alias("run"), F.lit(ghost).alias("ghost"))
+    before = F.when(F.col("_run") == 0, F.lit(len(cuts) - 1)).otherwise(F.col("_run") - 1)
+    copies = F.when(opens, F.array(place(F.col("_run"), False), place(before, True))).otherwise(F.array(place(F.col("_run"), False)))
+    dealt = at.withColumn("_at", F.explode(copies)).withColumns({"_run": F.col("_at.run"), "_ghost": F.col("_at.ghost")})
+    inside = Window.partitionBy("_run").orderBy("_ghost", *own)
+    return dealt.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in follow]).filter(~F.col("_ghost")).drop(*keys.columns, "_run", "_at", "_ghost")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -110,13 +164,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text keeps the first half of the code points (the larger where odd); the rest is
     replaced by as many first code points of the next document by id, or all of a shorter one;
     after the last comes the first. Null texts are empty; empty fingerprints are alike with one
-    another and unlike any other. Null ids come first; of equal ids the one with the smaller text
-    comes first; repeated rows each give a row; a table of one row follows itself; an empty table
+    another and unlike any other. Null ids come first; rows of equal id go by the hash of their
+    texts; repeated rows each give a row; a table of one row follows itself; an empty table
     gives none; other columns are not read. Whole texts are used, however long.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     printed = base.withColumn("chosen", winnow(F.col("text"), k, window))
-    pairs = with_next(printed, "id", ["text", "chosen"], ["text"])
+    pairs = with_next(printed, "id", "text", ["text", "chosen"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))

@@ -9,6 +9,8 @@ import time
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -291,27 +293,52 @@ def test_url_oracle(spark):
 # --- winnowing
 
 
-def plain_choice(grams, window):
-    """(hash, position) chosen: the least of each window, the rightmost of equals."""
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def hashed(text):
+    """Spark's xxhash64 of a string."""
+    return xxhash.xxh64_intdigest(text.encode(), seed=42)
+
+
+def plain_fingerprint(text, k=5, window=8):
+    """[(hash, position)] by the definition: each gram's polynomial anew, the rightmost least of each window."""
+    turn = lambda x, n: (x << n | x >> (64 - n)) & (1 << 64) - 1 if n else x
+    words = [hashed(w) for w in regex.split(r"[ \t\n\x0b\f\r\x1c-\x1f\x85\p{Z}]+", (text or "").lower()) if w]
+    grams = []
+    for at in range(max(1, len(words) - k + 1) if words else 0):
+        h = 0
+        for w in words[at : at + k]:
+            h = turn(h, 1) ^ w
+        grams.append(signed(h))
     found = []
     for s in range(max(1, len(grams) - window + 1) if grams else 0):
         own = grams[s : s + window]
         at = max(i for i, g in enumerate(own) if g == min(own))
-        if (own[at], s + at) not in found:
+        if not found or found[-1][1] != s + at:
             found.append((own[at], s + at))
     return found
 
 
-def test_winnowing_is_the_definition(spark, odd_rows):
-    small = [(k, t) for k, (_, t, *_) in enumerate(odd_rows) if t is None or len(t) < 5000]
+def plain_likeness(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def plain_spelling(chosen):
+    return ",".join(f"{h & (1 << 64) - 1:016x}:{p}" for h, p in chosen)
+
+
+@pytest.mark.parametrize("k, window", [(5, 8), (1, 1), (2, 3), (3, 2), (4, 7), (6, 5), (7, 16)])
+def test_winnowing_is_the_definition(spark, odd_rows, k, window):
+    small = [(i, t) for i, (_, t, *_) in enumerate(odd_rows) if t is None or len(t) < 5000]
     small += [(900, "a a a a a a a a a a a a a a a a"), (901, "One two"), (902, "one  TWO\n")]
-    table = spark.createDataFrame(small, "k long, text string")
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
-    grams = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.shiftright(F.xxhash64(F.slice(words, i, 5)), winnowing.PLACES)))
-    own = winnowing.winnow(F.col("text"))
-    rows = table.select("k", grams.alias("grams"), winnowing.hashes(own).alias("h"), winnowing.positions(own).alias("p"), winnowing.spelled(own).alias("s")).collect()
+    own = winnowing.winnow(F.col("text"), k, window)
+    rows = spark.createDataFrame(small, "k long, text string").select("k", "text", winnowing.hashes(own).alias("h"), winnowing.positions(own).alias("p"), winnowing.spelled(own).alias("s")).collect()
     for r in rows:
-        assert list(zip(r["h"], r["p"])) == plain_choice(r["grams"], winnowing.WINDOW)
+        want = plain_fingerprint(r["text"], k, window)
+        assert list(zip(r["h"], r["p"])) == want and r["s"] == plain_spelling(want)
     by = {r["k"]: r["s"] for r in rows}
     assert by[901] == by[902] != ""
 
@@ -329,19 +356,43 @@ def test_shared_passages_share_a_hash(spark, vocabulary):
 def test_edited_texts(odd, odd_rows, none, monkeypatch, run_rows):
     step = winnowing.with_next
     monkeypatch.setattr(winnowing, "with_next", lambda *a: step(*a, run_rows))
-    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"], r["fingerprint"], r["edited_fingerprint"]) for r in winnowing.edited_fingerprints(odd).collect()))
-    rows = sorted(((i is not None, i or 0, t or "") for i, t, *_ in odd_rows))
-    want = []
-    for k, (known, i, t) in enumerate(rows):
-        after, half = rows[(k + 1) % len(rows)][2], len(t) // 2
-        want.append((known, i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
-    assert [g[:4] for g in got] == sorted(want)
-    assert all(0 <= g[4] <= 1 and 0 <= g[5] <= 1 and not math.isnan(g[4]) for g in got)
+    got = [tuple(r) for r in winnowing.edited_fingerprints(odd).collect()]
+    assert sorted(got, key=repr) == sorted(plain_rows([(i, t) for i, t, *_ in odd_rows]), key=repr)
     assert winnowing.edited_fingerprints(none).count() == 0
     one = winnowing.edited_fingerprints(odd.filter("doc_id = 7")).first()
     assert one["near_next"] == 1.0
 
 
+def plain_rows(rows):
+    """The query's rows by the definition: null ids first, equal ids by the hash of their texts."""
+    rows = sorted(((i is not None, i or 0, signed(hashed(t or "")), t or "") for i, t in rows))
+    prints = {t: plain_fingerprint(t) for *_, t in rows}
+    for at, (known, i, _, t) in enumerate(rows):
+        after, half = rows[(at + 1) % len(rows)][3], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        other = plain_fingerprint(edited)
+        yield i if known else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_spelling(prints[t]), plain_spelling(other), plain_likeness(prints[t], other), plain_likeness(prints[t], prints[after])
+
+
+def test_runs_of_one_id_and_none(spark):
+    """Many rows without an id, and many of one, spread over runs; equal rows follow each other."""
+    rows = [(None, f"text {i}") for i in range(60)] + [(5, f"other text {i}") for i in range(60)] + [(7, "same")] * 30 + [(6, None), (8, "last")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = winnowing.with_next(table, "doc_id", "text", ["text"], 4)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else signed(hashed(r[1]))))
+    want = [(*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert len(winnowing._openings(table.select(F.lit(1).alias("_known"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_hash")), 4)) > 20
+
+
+def test_query_on_whole_tables(spark):
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op9_winnowing"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    for want in plain_rows([tuple(r) for r in docs]):
+        assert tuple(rows.pop(want[0])) == want
+    assert not rows
+
+
 def test_winnowing_stays_in_the_engine(odd):
     plan = winnowing.edited_fingerprints(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
