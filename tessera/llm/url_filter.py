@@ -1,14 +1,16 @@
 """URL filters by a sorted digest array.
 
-Rules and listed hosts are strings `host` + `path`. Their 64-bit xxhash digests form one sorted
-array in a file that each executor maps into memory; a URL's candidate strings (its host and every
-parent domain, with the beginnings of its path that have some entry's length) are hashed and
-probed together by binary search. A digest found is confirmed by the full string stored beside it,
-so collisions can't match.
+Rules and listed hosts are strings `host` + `path`, in lists or in tables of any size. Spark hashes
+them to 64-bit xxhash digests and sorts them; the sorted columns go, piece by piece, into files that
+each executor maps into memory. A URL's candidate strings (its host and the parent domains with no
+more labels than some entry has, with the beginnings of its path that have some entry's length) are
+hashed and probed together by binary search. A digest found is confirmed by the full string stored
+beside it, so collisions can't match.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,40 +31,41 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Hosts that the query's own list blocks, subdomains included, where no rule fits.
 LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SEED = 42  #: of the digests, as Spark's xxhash64 has it
+COLUMNS = {"keys": np.int64, "sizes": np.int32, "actions": np.int8, "strings": np.uint8}  #: the index's files
 
 
 def digests(strings: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(s.encode()) for s in strings), np.uint64, len(strings))
+    return np.fromiter((xxhash.xxh64_intdigest(s.encode(), seed=SEED) for s in strings), np.uint64, len(strings)).view(np.int64)
 
 
-def packed(entries: list[tuple[str, int]]) -> bytes:
-    """The index file: count, digests in order, string ends, actions, lengths of paths, strings."""
-    unique = sorted({*entries})
-    keys = digests([s for s, _ in unique])
-    order = np.argsort(keys, kind="stable")
-    strings = [unique[i][0].encode() for i in order]
-    ends = np.cumsum([0, *map(len, strings)], dtype=np.int64)
-    lengths = np.unique([len(s) - s.find("/") if "/" in s else 0 for s, _ in unique]).astype(np.int64)
-    head = np.array([len(unique), len(lengths)], np.int64)
-    return head.tobytes() + keys[order].tobytes() + ends.tobytes() + np.array([unique[i][1] for i in order], np.int64).tobytes() + lengths.tobytes() + b"".join(strings)
+class Shape:
+    """What candidates can match: lengths of the entries' paths, the most labels and characters of their hosts."""
 
+    def __init__(self, lengths: list[int], labels: int, longest: int):
+        self.lengths, self.labels, self.longest = sorted(lengths), labels, longest
 
-class DigestArray:
-    """The index file, mapped into memory."""
+    def candidates(self, host: str, path: str) -> list[str]:
+        if not host:
+            return []
+        domains, end = [], len(host)
+        for _ in range(self.labels):
+            end = host.rfind(".", 0, end) if end else -1
+            if len(host) - end - 1 > self.longest:
+                break
+            domains.append(host[end + 1 :])
+            if end < 0:
+                break
+        return [d + path[:n] for d in domains for n in self.lengths if n <= len(path)]
 
-    def __init__(self, path: str):
-        n, m = np.fromfile(path, np.int64, 2).tolist()
-        at = 16
 
-        def part(kind, count):
-            nonlocal at
-            found = np.memmap(path, kind, "r", at, (count,)) if count else np.empty(0, kind)
-            at += 8 * count
-            return found
+class DigestArray:
+    """The index's files, mapped into memory."""
 
-        self.keys, self.ends, self.actions, lengths = part(np.uint64, n), part(np.int64, n + 1), part(np.int64, n), part(np.int64, m)
-        self.lengths = lengths.tolist()
-        self.strings = np.memmap(path, np.uint8, "r", at) if n else np.empty(0, np.uint8)
+    def __init__(self, prefix: str):
+        mapped = {c: np.memmap(f"{prefix}-{c}", kind, "r") if os.path.getsize(f"{prefix}-{c}") else np.empty(0, kind) for c, kind in COLUMNS.items()}
+        self.keys, self.actions, self.strings = mapped["keys"], mapped["actions"], mapped["strings"]
+        self.ends = np.concatenate([[0], np.cumsum(mapped["sizes"], dtype=np.int64)])
 
     def probe(self, strings: list[str]) -> list[list[tuple[str, int]]]:
         """The entries equal to each string."""
@@ -80,12 +83,49 @@ class DigestArray:
                 j += 1
         return found
 
-    def candidates(self, host: str, path: str) -> list[str]:
-        if not host:
-            return []
-        labels = host.split(".")
-        domains = [".".join(labels[i:]) for i in range(len(labels))]
-        return [d + path[:n] for d in domains for n in self.lengths if n <= len(path)]
+
+_MAPPED: dict[str, DigestArray] = {}
+
+
+def _mapped(name: str) -> DigestArray:
+    """The index of a worker, mapped once; the one before it is let go."""
+    if name not in _MAPPED:
+        _MAPPED.clear()
+        _MAPPED[name] = DigestArray(SparkFiles.get(name + "-keys").removesuffix("-keys"))
+    return _MAPPED[name]
+
+
+def _pieces(entries: DataFrame) -> DataFrame:
+    """Rows (entry, action) with their digests (key), sorted by Spark, in pieces of the index's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = [s.encode() for s in batch.column(1).to_pylist()]
+            own = {"keys": batch.column(0).to_numpy(), "sizes": [len(s) for s in strings], "actions": batch.column(2).to_numpy(), "strings": np.frombuffer(b"".join(strings), np.uint8)}
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(own[c], kind).tobytes()], pa.binary()) for c, kind in COLUMNS.items()], [*COLUMNS])
+
+    return entries.select("key", "entry", "action").orderBy("key", "entry", "action").mapInArrow(run, ", ".join(f"{c} binary" for c in COLUMNS))
+
+
+def write_index(entries: DataFrame, prefix: str) -> Shape:
+    """Writes the index of `entries` (entry, action) to files of that prefix and hands them to every executor.
+
+    Null entries are left out, repeated ones stored once. The driver holds one piece at a time, and
+    the numbers of the shape.
+    """
+    spark = entries.sparkSession
+    host = F.substring_index("entry", "/", 1)
+    known = entries.filter(F.col("entry").isNotNull()).distinct().withColumn("key", F.xxhash64("entry"))
+    sizes = known.agg(F.collect_set(F.length("entry") - F.length(host)), F.max(F.size(F.split(host, r"\."))), F.max(F.length(host))).first()
+    paths = {c: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{prefix}-{c}") for c in COLUMNS}
+    files = {c: at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at) for c, at in paths.items()}
+    for piece in _pieces(known).toLocalIterator():
+        for c, file in files.items():
+            file.write(piece[c])
+    for c, file in files.items():
+        file.close()
+        spark.sparkContext.addFile(f"{prefix}-{c}")
+    return Shape(sizes[0], sizes[1] or 0, sizes[2] or 0)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -93,29 +133,31 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_LOWER), m[2]) if m else ("", "")
 
 
-def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], listed: list[str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, listed: list[str] | DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule, verdict.
 
-    The longest rule that fits host (or a parent domain) and path decides; of the same string given
+    Rules are (action, entry), `listed` entries; lists, or tables with those columns. The longest
+    rule that fits host (or a parent domain) and path decides; of the same string given
     twice, block. Without a rule a listed entry blocks, any other URL is allowed. Null URLs, and
     those without `://`, have empty host and path and fit nothing: allow. Null ids stay; repeated
-    rows each give a row; an empty table gives none; other columns are not read.
+    rows each give a row; an empty table gives none; other columns are not read. Hosts and paths
+    may have any length.
     """
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "action string, entry string")
+    if not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame([(s,) for s in listed], "entry string")
+    action = F.when(F.col("action") == "block", BLOCK).otherwise(ALLOW).cast("int")
+    entries = rules.select("entry", action.alias("action")).unionByName(listed.select("entry", F.lit(LISTED).alias("action")))
     name = f"url-digests-{uuid.uuid4().hex}"
-    folder = new_folder(spark, "urls")
-    # the rules' size, known on the driver; Spark hands the file to every executor
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
-    out.write(bytearray(packed([*((s, BLOCK if a == "block" else ALLOW) for a, s in rules), *((s, LISTED) for s in listed)])))
-    out.close()
-    spark.sparkContext.addFile(f"{folder}/{name}")
+    shape = write_index(entries, f"{new_folder(spark, 'urls')}/{name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestArray(SparkFiles.get(name))
+        index = _mapped(name)
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            own = [index.candidates(*p) for p in parts]
+            own = [shape.candidates(*p) for p in parts]
             found = iter(index.probe([c for cs in own for c in cs]))
             rule_of, verdict = [], []
             for cs in own:

@@ -271,13 +271,35 @@ def test_url_verdicts(spark):
 
 
 def test_collisions_are_confirmed(tmp_path, monkeypatch):
-    monkeypatch.setattr(url_filter, "digests", lambda strings: np.array([len(s) % 2 for s in strings], np.uint64))
-    path = tmp_path / "index"
-    path.write_bytes(url_filter.packed([("a.com/", 1), ("bb.com/", 0), ("c.com/", 2), ("a.com/", 0)]))
-    index = url_filter.DigestArray(str(path))
+    monkeypatch.setattr(url_filter, "digests", lambda strings: np.array([len(s) % 2 for s in strings], np.int64))
+    entries = sorted([("a.com/", 1), ("bb.com/", 0), ("c.com/", 2), ("a.com/", 0)], key=lambda e: (len(e[0]) % 2, e))
+    own = {"keys": [len(s) % 2 for s, _ in entries], "sizes": [len(s) for s, _ in entries], "actions": [a for _, a in entries], "strings": list("".join(s for s, _ in entries).encode())}
+    for c, kind in url_filter.COLUMNS.items():
+        (tmp_path / f"index-{c}").write_bytes(np.array(own[c], kind).tobytes())
+    index = url_filter.DigestArray(str(tmp_path / "index"))
     assert index.probe(["a.com/", "x.com/", "bb.com/", "c.com/"]) == [[("a.com/", 0), ("a.com/", 1)], [], [("bb.com/", 0)], [("c.com/", 2)]]
 
 
+def test_url_list_from_a_table(spark):
+    """A list of many hosts, sorted by Spark into several pieces, gives what a plain set gives."""
+    listed = spark.range(50_000, numPartitions=7).selectExpr("concat('h', id, '.example.com') AS entry").unionByName(spark.createDataFrame([(None,), ("h3.example.com",), ("b.h7.net/x/y",), ("é.org",)], "entry string"))
+    rules = spark.createDataFrame([("allow", "h9.example.com/free/"), ("block", None)], "action string, entry string")
+    urls = ["http://h3.example.com/", "http://a.H49999.example.com", "http://h50000.example.com/", "http://b.h7.net/x/yz", "http://b.h7.net/x/", "http://h9.example.com/free/1", "http://h9.example.com/fre", "http://x.é.org/", "http://example.com/"]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(table, rules, listed).collect()}
+    assert [got[i] for i in range(len(urls))] == [(None, "block"), (None, "block"), (None, "allow"), (None, "block"), (None, "allow"), ("h9.example.com/free/", "allow"), (None, "block"), (None, "block"), (None, "allow")]
+
+
+def test_long_hosts_and_paths(spark):
+    shape = url_filter.Shape([0, 4], 3, 20)
+    many = "a." * 500_000 + "example.com"
+    began = time.process_time()
+    assert shape.candidates(many, "/en/" + "x" * 1_000_000) == ["com", "com/en/", "example.com", "example.com/en/", "a.example.com", "a.example.com/en/"]
+    assert shape.candidates("a" * 1_000_000, "/") == [] and time.process_time() - began < 1
+    table = spark.createDataFrame([(1, f"http://{many}/en/1"), (2, f"http://{many}/en/" + "x" * 100_000)], "page_id long, url string")
+    assert {r["rule"] for r in url_filter.url_verdicts(table, [("block", "com/en/")], []).collect()} == {"com/en/"}
+
+
 def test_url_oracle(spark):
     import duckdb
 
