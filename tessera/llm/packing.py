@@ -12,7 +12,6 @@ sequence but a shard's last is full.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ DENSE = 1024  #: terms of a shard whose weights are kept as dense rows
 SKETCH = 64  #: dimensions of a document's sketch
 SAMPLE = 8192  #: sketches that centroids are fitted on, about
 GROUPS = 2048  #: centroids, at most
-ALIKE = 64  #: rows of one id in a batch that may go to one shard
 
 
 def crc(ids: np.ndarray) -> int:
@@ -238,18 +236,16 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, shard:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = tokens.codec(path, short)
         last = np.array([end_id], codec.dtype)
-        part = TaskContext.get().partitionId()
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            who = batch.column(0).to_pylist()
-            seen: Counter = Counter()
-            salts, sizes, texts = [], [], []
-            for i, text in zip(who, batch.column(1).to_pylist()):
+            sizes, texts = [], []
+            for text in batch.column(1).to_pylist():
                 ids = np.concatenate([codec.encode(text), last])
-                # many rows of one id go to many shards
-                salts.append(0 if i is not None and seen[i] < ALIKE else 1 + part + (seen[i] // ALIKE << 20))
-                seen[i] += 1
                 sizes.append(len(ids))
                 texts.append(ids.tobytes())
+            # a number of its own for each row: many rows of one id, or of none, go to many shards
+            salts = np.arange(row, row + len(texts))
+            row += len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(salts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "salt", "n", "ids"])
 
     dtype = np.dtype("<u4" if max(tokens.vocabulary(path).names) >= 1 << 16 else "<u2")

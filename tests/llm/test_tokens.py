@@ -193,6 +193,25 @@ def test_crcs_join():
         assert int(got[0]) == zlib.crc32(a + b)
 
 
+@pytest.mark.parametrize("shard", [4, 2048])
+def test_packed_digests_without_ids(odd, odd_rows, shard):
+    """The registered form: every piece's CRC, those of long documents' inner windows included."""
+    own = {i: ids(BYTE, t) + [0] for i, t, *_ in odd_rows if i is not None}
+    assert max(map(len, own.values())) > 5 * 1024
+    rows = packing.pack(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), BYTE, shard=shard).collect()
+    assert sum(r["length"] for r in rows) == sum(map(len, own.values()))
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(np.array(own[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_rows_of_one_id_go_to_many_shards(spark, hot):
+    rows = spark.createDataFrame([(hot, "one text of a few words")] * 3000, "doc_id long, text string").repartition(3)
+    got = packing.pack(rows, BYTE, shard=64)
+    shards = {r["s"]: r["n"] for r in got.groupBy((F.col("sequence_id") / 2**32).cast("long").alias("s")).agg(F.count("*").alias("n")).collect()}
+    assert len(shards) > 30 and max(shards.values()) < 200
+
+
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_packing(odd, odd_rows, none, shard):
     got = packing.pack(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), BYTE, shard=shard, with_ids=True).collect()
