@@ -1,9 +1,10 @@
 """Exact and fast byte-pair encoding for the two shapes of public tokenizer file.
 
-The tokenizers library defines every id. Its own speed is one to two MB a second, so texts
-within Latin-1 take a shorter way to the same ids: they are split by the file's pattern and each
-piece is merged by rank, in a word vocabulary once while it stays in a bounded cache. Any other text, and any text that holds a special token's string, goes to the
-library itself.
+The tokenizers library defines every id. Its own speed is one to two MB a second, so texts take a
+shorter way to the same ids: they are split by the file's pattern (Latin-1 text by an equal pattern
+here, other text by the library's own normaliser and splitter) and each piece is merged by rank, in
+a word vocabulary once while it stays in a bounded cache; long pieces by tree concatenation. Texts
+that hold a special token's string go to the library whole.
 
 Why the shorter way is exact. A rank merger joins two neighbours whenever their concatenation
 is a token; the file lists one pair for each token. The two agree if each token's own string,
@@ -157,6 +158,16 @@ class Cache(dict):
         return value
 
 
+def latin(text: str) -> bool:
+    """Whether a text lies within Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class Codec:
     """Encodes texts; one for each file and worker process."""
 
@@ -178,24 +189,28 @@ class Codec:
             self._code = [int(i).to_bytes(self.dtype.itemsize, "little") for i in self.vocab.ids]
         self._pieces = Cache(self.piece, 3 * CACHE_WORDS)
 
-    def ranks_of(self, piece: str) -> list[int]:
-        """Ranks of one unsplit piece; long ones by concatenating halves."""
-        spelling = piece.encode() + (_END if self.vocab.suffix else b"")
+    @property
+    def end(self) -> bytes:
+        """What ends a piece's byte string."""
+        return _END if self.vocab.suffix else b""
+
+    def size(self, piece: str) -> int:
+        """Bytes of a piece's string."""
+        return len(piece.encode()) + len(self.end)
+
+    def ranks(self, spelling: bytes) -> list[int]:
+        """Ranks of one unsplit byte string; long ones by concatenating halves."""
         return self._merge(spelling) if len(spelling) <= LEAF else concatenated(spelling, self._merge, self.vocab.spelling)
 
+    def ranks_of(self, piece: str) -> list[int]:
+        return self.ranks(piece.encode() + self.end)
+
     def piece(self, piece: str) -> bytes:
         return b"".join([self._code[r] for r in self.ranks_of(piece)])
 
     def shortly(self, text: str) -> bool:
         """Whether the shorter way may take a text."""
-        if not self.short or any(s in text for s in self.vocab.specials):
-            return False
-        if text.isascii():
-            return True
-        try:
-            return bool(text.encode("latin-1"))
-        except UnicodeEncodeError:
-            return False
+        return self.short and not any(s in text for s in self.vocab.specials)
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text that `shortly` admits, in blocks of bounded size.
@@ -203,6 +218,12 @@ class Codec:
         A word vocabulary's normaliser only lowers Latin-1 text and changes white space, which
         its pieces never hold.
         """
+        if not latin(text):
+            normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+            spans = self.library.pre_tokenizer.pre_tokenize_str(normal)
+            for at in range(0, len(spans), BLOCK // 8):
+                yield [normal[s:e] for _, (s, e) in spans[at : at + BLOCK // 8]]
+            return
         if self.vocab.suffix:
             find, text = _WORD_PIECES, text.lower()
         else:
@@ -220,7 +241,7 @@ class Codec:
             return np.empty(0, self.dtype)
         if not self.shortly(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
-        if not self.vocab.suffix and len(text) < BLOCK:
+        if not self.vocab.suffix and len(text) < BLOCK and latin(text):
             return self._ids[np.array(self._ranker.encode_ordinary(text), np.intp)]
         return np.frombuffer(b"".join([b"".join(map(self._pieces.__getitem__, block)) for block in self.pieces(text)]), self.dtype)
 
@@ -235,6 +256,12 @@ def concatenated(spelling: bytes, merge: Callable[[bytes], list[int]], spell: li
     the encoding of its text, so the result is exact. Depth is the logarithm of the length.
     """
 
+    return halves([merge(spelling[i : i + leaf]) for i in range(0, len(spelling), leaf)], merge, spell)
+
+
+def halves(level: list[list[int]], merge: Callable[[bytes], list[int]], spell: list[bytes]) -> list[int]:
+    """The ranks of one byte string from those of its consecutive parts, joined two by two."""
+
     def keeps(a: int, b: int) -> bool:
         return merge(spell[a] + spell[b]) == [a, b]
 
@@ -250,7 +277,6 @@ def concatenated(spelling: bytes, merge: Callable[[bytes], list[int]], spell: li
                 return left[: len(left) - i] + window + right[j:]
             width *= 2
 
-    level = [merge(spelling[i : i + leaf]) for i in range(0, len(spelling), leaf)]
     while len(level) > 1:
         level = [join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0] if level else []

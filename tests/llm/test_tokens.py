@@ -56,6 +56,35 @@ def test_tree_concatenation(alphabet):
                 assert tokens.concatenated(spelling, codec._merge, codec.vocab.spelling, leaf) == whole
 
 
+def unsplit_texts():
+    """Texts whose pieces are long, in several scripts, with white space, marks and special strings."""
+    draw = random.Random(5)
+    of = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    texts = [of("aeioust", n) for n in (250, 256, 257, 1000, 16_383, 16_384, 16_385, 32_767, 32_768, 40_001, 70_000)]
+    texts += [of("漢字仮名交文", 30_000), of("абвгд", 20_000) + " " + of("xyz", 20_000), of("!?;-", 40_000), "e\u0301" * 20_000, "\u1112\u1161\u11ab" * 15_000, " \n" * 20_000, "7" * 40_000]
+    texts += [" ".join(of("abc漢é'", draw.randint(1, 9)) for _ in range(9_000)), of("ab", 40_000) + "<|endoftext|>" + of("ab", 10), "İ" + of("Σσς", 40_000) + "Σ", "a" * 16_384 + "b", "x" * 16_383 + "é" + "x" * 40_000]
+    return texts
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_long_unsplit_texts_take_the_tree(spark, path):
+    texts = unsplit_texts()
+    rows = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    library = LIBRARY[path]
+    want = []
+    for i, t in enumerate(texts):
+        own = ids(path, t)
+        text = library.decode(own, skip_special_tokens=False)
+        want.append((i % 20, len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    for long in (1 << 40, 16_384):  # within one task, and dealt over many
+        got = bpe.round_trip(rows, path, long=long).collect()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:4]) for r in got)
+        taken = [r for r in got if r["n_joined"]]
+        assert len(taken) >= 13 or (path == BYTE and long > 16_384)  # tree concatenation encoded these
+    for t in texts:
+        assert tokens.codec(path, True).encode(t).tolist() == ids(path, t)
+
+
 def test_counts(odd, odd_rows, none):
     got = sorted(map(repr, (tuple(r) for r in token_counts.token_counts(odd, BYTE).collect())))
     want = sorted(repr((i, len((t or "").encode()), len(ids(BYTE, t)), len(ids(BYTE, t)) > 1024)) for i, t, *_ in odd_rows)
@@ -77,7 +106,9 @@ def test_round_trip(odd, odd_rows, none):
         own = ids(WORD, t)
         return len(own), hashlib.sha256(" ".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(LIBRARY[WORD].decode(own, skip_special_tokens=False).encode()).hexdigest()
 
-    assert sorted(repr(tuple(r)) for r in bpe.round_trip(odd, WORD).collect()) == sorted(repr((i, *digests(t))) for i, t, *_ in odd_rows)
+    got = bpe.round_trip(odd, WORD)
+    assert sorted(repr(tuple(r)) for r in got.drop("n_joined").collect()) == sorted(repr((i, *digests(t))) for i, t, *_ in odd_rows)
+    assert got.filter("doc_id = 141").first()["n_joined"] == 1
     assert bpe.round_trip(none, WORD).count() == 0
     back = bpe.decoded(bpe.encoded(odd, BYTE), BYTE)
     assert sorted(repr(tuple(r)) for r in back.collect()) == sorted(repr((i, LIBRARY[BYTE].decode(ids(BYTE, t), skip_special_tokens=False))) for i, t, *_ in odd_rows)
