@@ -66,9 +66,9 @@ def least(grams: Column, window: int) -> Column:
 
 
 def winnow(text: Column, k: int = GRAM, window: int = WINDOW) -> Column:
-    """array<struct<hash: long, position: int>> of the chosen grams, in order.
+    """struct<hash: array<long>, position: array<int>> of the chosen grams, in order.
 
-    Null and empty texts, and those of white space alone, give an empty array.
+    Null and empty texts, and those of white space alone, give empty arrays.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -82,9 +82,10 @@ def winnow(text: Column, k: int = GRAM, window: int = WINDOW) -> Column:
         alone = F.array(F.aggregate(g, F.get(g, F.lit(0)), lambda x, y: F.when(y["hash"] <= x["hash"], y).otherwise(x)))
         picks = F.when(F.size(g) < window, alone).otherwise(least(g, window))
         # positions never fall from window to window
-        return _let(picks, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["position"] != F.get(p, i - 1)["position"])))
+        picked = _let(picks, lambda p: F.filter(p, lambda x, i: (i == 0) | (x["position"] != F.get(p, i - 1)["position"])))
+        return _let(picked, lambda p: F.struct(p["hash"].alias("hash"), p["position"].alias("position")))
 
-    none = F.array().cast("array<struct<hash: bigint, position: int>>")
+    none = F.struct(F.array().cast("array<bigint>").alias("hash"), F.array().cast("array<int>").alias("position"))
     return _let(hashed, lambda w: F.when(F.size(w) == 0, none).otherwise(_let(grams(w), chosen)))
 
 
@@ -106,8 +107,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def spelled(chosen: Column) -> Column:
     """The fingerprint as text: hash:position of each chosen gram, hash in hex, comma-joined; empty without any."""
-    one = lambda p: F.concat(F.lower(F.lpad(F.hex(p["hash"]), 16, "0")), F.lit(":"), p["position"].cast("string"))
-    return F.concat_ws(",", F.transform(chosen, one))
+    one = lambda h, p: F.concat(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit(":"), p.cast("string"))
+    return F.concat_ws(",", F.zip_with(hashes(chosen), positions(chosen), one))
 
 
 def _openings(keys: DataFrame, run_rows: int) -> list[tuple[int, object, int]]:
