@@ -82,6 +82,83 @@ def test_held_out_accuracy(labelled):
     assert by[702][0]["evidence"][0]["label"] == 1
 
 
+def plain_scores(docs, labels, k=25):
+    """Scores by the definition, with dense vectors and a least-squares rising fit; all labelled rows are examples."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+
+    def counts(text):
+        own = {}
+        for w in words(text):
+            for t in [w, *(w[:n] + "~" for n in (3, 4, 5, 6, 7) if n < len(w))]:
+                own[t] = own.get(t, 0) + 1
+        return {name: n for t, n in own.items() for name in [t, *(f"{t}#{m}" for m in (2, 3, 5) if n >= m)]}
+
+    texts = dict(docs)
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and i in texts:
+            known[i] = max(y, known.get(i, 0))
+    have = {i: counts(texts[i]) for i in known}
+    pos, neg = sum(known.values()), len(known) - sum(known.values())
+    ranked = []
+    for t in {t for own in have.values() for t in own}:
+        a, b = sum(t in have[i] for i, y in known.items() if y), sum(t in have[i] for i, y in known.items() if not y)
+        share = (a + b) / (pos + neg)
+        g = sum(o * math.log(o / e) for o, e in ((a, share * pos), (b, share * neg), (pos - a, (1 - share) * pos), (neg - b, (1 - share) * neg)) if o)
+        if a >= 4 and a * neg >= 6 * b * pos and round(2 * g, 6) >= 20:
+            ranked.append((-round(2 * g, 6), t))
+    terms = [t for _, t in sorted(ranked)]
+    number = {t: j for j, t in enumerate(terms)}
+    all_counts = [counts(t) for _, t in docs]
+    idf = np.array([math.log((1 + len(docs)) / (1 + sum(t in c for c in all_counts))) + 1 for t in terms])
+
+    def vector(own):
+        v = np.zeros(len(terms))
+        for t, n in own.items():
+            if t in number:
+                v[number[t]] = (1 + math.log(n)) * idf[number[t]]
+        return v / np.sqrt(v @ v) if v.any() else v
+
+    vectors = {i: vector(have[i]) for i in known}
+    examples = sorted((i for i in known if vectors[i].any()), key=lambda i: (int(vectors[i].argmax()), i))
+    dense, label = np.array([vectors[i] for i in examples]), np.array([known[i] for i in examples])
+
+    def vote(v, without):
+        cosines = np.round(dense @ v, 12)
+        near = [j for j in np.lexsort((np.arange(len(examples)), -cosines)) if cosines[j] > 1e-9 and examples[j] != without][:k]
+        return sum(cosines[j] * (2 * label[j] - 1) for j in near) / k if near else None
+
+    points = sorted((v, known[i]) for i in examples if (v := vote(vectors[i], i)) is not None)
+    xs = sorted({x for x, _ in points})
+    ys, sizes = [np.mean([y for q, y in points if q == x]) for x in xs], [sum(q == x for q, _ in points) for x in xs]
+    fitted = [max(min(np.average(ys[i : j + 1], weights=sizes[i : j + 1]) for j in range(at, len(xs))) for i in range(at + 1)) for at in range(len(xs))]  # the max-min formula
+    smooth = {}
+    for x, f, n in zip(xs, fitted, sizes):
+        s = smooth.setdefault(round(f, 9), [0, 0, 0.0])
+        s[0], s[1], s[2] = s[0] + n, x, f
+    steps = [(end, (f * n + 0.5) / (n + 1)) for n, end, f in smooth.values()]
+    bare = [known[i] for i in known if not vectors[i].any()]
+    none = sum(bare) / len(bare) if bare else 0.0
+    for (i, _), own in zip(docs, all_counts):
+        v = vector(own)
+        got = vote(v, i) if v.any() else None
+        yield i, none if got is None else next((s for end, s in steps if got - 1e-12 <= end), steps[-1][1])
+
+
+def test_scores_are_the_definition(labelled):
+    docs, labels = labelled
+    plain = list(plain_scores([tuple(r) for r in docs.collect()], [tuple(r) for r in labels.collect()]))
+    got = sorted((repr(r["doc_id"]), r["score"]) for r in toxicity.toxicity(docs, labels).collect())
+    for (i, a), (j, b) in zip(got, sorted((repr(i), s) for i, s in plain), strict=True):
+        assert i == j and a == pytest.approx(b, abs=1e-9), i
+
+
+def test_no_row_votes_for_itself(labelled):
+    docs, labels = labelled
+    for r in toxicity.toxicity(docs, labels, evidence=25).collect():
+        assert r["doc_id"] not in [e["example"] for e in r["evidence"]]
+
+
 def test_calibration_weights_the_classes_back(spark):
     """A term in all toxic texts and in an eighth of the clean ones scores its true rate, however few clean rows are sampled."""
     draw = random.Random(22)
