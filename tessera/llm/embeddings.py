@@ -1,11 +1,15 @@
-"""Embedding near-duplicates over lists of near vectors, searched by bounds that leave out no link.
-
-Unit vectors are assigned to the list of the nearest centroid. A vector asks every later list that
-can hold a link: by the triangle inequality one whose centroid is no farther than the list's radius
-and the threshold's distance, and on this side, within that distance, of the plane between the
-first-level centroids. So each pair of lists meets once, and a found pair counts for both its ends.
-Single-precision products decide all pairs but those within their rounding error of the threshold;
-these get the exact cosine in double precision. Equal vectors are one entry with a count.
+"""Embedding near-duplicates by product quantisation, searched by bounds that leave out no link.
+
+Unit vectors are assigned to the list of the nearest centroid and coded: each subspace of the
+residual by the nearest of its codebook's entries; how much the code misses is kept. A vector asks
+every later list that can hold a link: by the triangle inequality one whose centroid is no farther
+than the list's radius and the threshold's distance, and on this side, within that distance, of the
+plane between the first-level centroids. So each pair of lists meets once, and a found pair counts
+for both its ends. In a list, asymmetric distances are summed from a query's look-up tables by the
+members' codes. A true distance lies within what a code misses of that sum: pairs that are too far
+apart by it are dropped, pairs near enough by it are links, and the others get their cosines:
+single-precision products decide all but those within their rounding error of the threshold, double
+precision those. Equal vectors are one entry with a count.
 
 Lists are dealt into bounded cells, of members and of queries, so that a crowded list is the work
 of many tasks. A cell returns each entry's number of links and a spanning forest of the links, not
@@ -17,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from tessera.llm.components import components
 LIST = 2048  #: vectors to a list, about
 COARSE = 4096  #: centroids of the first level, and of the second, at most: up to COARSE^2 lists
 SENT = 65_536  #: lists whose sizes may be broadcast
+SLACK = 1e-4  #: more than rounding can change in a sum of look-ups, a squared distance of unit vectors
 SAMPLE = 65_536  #: vectors that centroids and codebooks are fitted on, at most
 CODES = 256  #: codes of a subspace
 WIDTH = 4  #: dimensions of a subspace
@@ -78,22 +82,10 @@ class Quantiser:
         self.fine = _kmeans(sample - self.centres[own], split) if split > 1 else np.zeros((1, sample.shape[1]))
         dim = sample.shape[1]
         self.parts = [slice(i, min(i + WIDTH, dim)) for i in range(0, dim, WIDTH)]
-        self._sample = sample
-
-    @cached_property
-    def books(self) -> list[np.ndarray]:
-        """Codebooks, fitted when codes are first asked for."""
-        residual = self._sample - self.base(self.lists(self._sample, 1)[:, 0])
-        return [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
-
-    @cached_property
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        residual = sample - self.base(self.lists(sample, 1)[:, 0])
+        self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), CODES, 4) for p in self.parts]
         #: |r - b|^2 = |r|^2 + (-2 r b + |b|^2): a query's table is one small product
-        return [((-2 * b.T).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
-
-    def __getstate__(self) -> dict:
-        """Without the sample, which is too large to send, unless codes have been asked for."""
-        return {k: v for k, v in self.__dict__.items() if k != "_sample"}
+        self.tables = [((-2 * b).astype(np.float32), (b**2).sum(1).astype(np.float32)) for b in self.books]
 
     @property
     def size(self) -> int:
@@ -118,21 +110,35 @@ class Quantiser:
         best = np.argsort(away, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(numbers, best, 1)
 
-    def within(self, x: np.ndarray, own: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
-        """Which lists may hold a vector within `reach` of each row; `radii` are negative for lists without members.
+    def within(self, x: np.ndarray, own: np.ndarray, radii: np.ndarray, reach: float) -> list[np.ndarray]:
+        """For each row the later lists, ascending, that may hold a vector within `reach` of it; `radii` are negative for lists without members.
 
         A member of another first-level list lies beyond the plane between that list's centroid and
-        the row's own, so a row farther than `reach` from the plane has no link there.
+        the row's own, so a row farther than `reach` from the plane has no link there. Only the
+        second levels of the others are looked at, one first-level list at a time.
         """
         reach += 1e-6  # rounding of the distances
-        first = own // len(self.fine)
-        squares = np.maximum((x**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
-        apart = np.sqrt(np.maximum(((self.centres**2).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * self.centres @ self.centres.T), 0))[first]
+        split = len(self.fine)
+        first = own // split
+        sizes = (x**2).sum(1)
+        centred = (self.centres**2).sum(1)
+        squares = np.maximum(sizes[:, None] + centred - 2 * x @ self.centres.T, 0)
+        apart = np.sqrt(np.maximum((self.centres[first] ** 2).sum(1)[:, None] + centred - 2 * self.centres[first] @ self.centres.T, 0))
         ahead = squares - np.take_along_axis(squares, first[:, None], 1)
-        near = (ahead <= 2 * reach * apart) | (apart < 1e-4)
-        bases = self.base(np.arange(self.size))
-        away = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (bases**2).sum(1) - 2 * x @ bases.T, 0))
-        return np.repeat(near, len(self.fine), axis=1) & (away - radii <= reach) & (radii >= 0)
+        near = ((ahead <= 2 * reach * apart) | (apart < 1e-4)) & (np.arange(len(self.centres)) >= first[:, None])
+        rows, lists = [], []
+        for c in np.flatnonzero(near.any(0)):
+            asking = np.flatnonzero(near[:, c])
+            numbers = np.arange(c * split, (c + 1) * split)
+            numbers = numbers[radii[numbers] >= 0]
+            bases = self.base(numbers)
+            away = np.sqrt(np.maximum(sizes[asking, None] + (bases**2).sum(1) - 2 * x[asking] @ bases.T, 0))
+            r, n = np.nonzero((away - radii[numbers] <= reach) & (numbers > own[asking, None]))
+            rows.append(asking[r])
+            lists.append(numbers[n])
+        rows, lists = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, lists))
+        order = np.lexsort((lists, rows))
+        return np.split(lists[order].astype(np.int32), np.searchsorted(rows[order], np.arange(1, len(x))))
 
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of each vector's residual, and the length of what they miss."""
@@ -145,12 +151,12 @@ class Quantiser:
         return codes, np.sqrt(missed)
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Look-up distances of queries to the coded members of a list."""
+        """Squared look-up distances of a list's coded members (rows) to queries (columns)."""
         residual = (queries - self.base(np.array([centre]))).astype(np.float32)
-        total = np.repeat((residual**2).sum(1, keepdims=True), len(codes), axis=1)
-        for m, (p, (turned, size)) in enumerate(zip(self.parts, self.tables)):
-            total += (residual[:, p] @ turned + size)[:, codes[:, m]]
-        return np.sqrt(np.maximum(total, 0))
+        total = np.repeat((residual**2).sum(1)[None], len(codes), axis=0)
+        for m, (p, (book, size)) in enumerate(zip(self.parts, self.tables)):
+            total += (book @ residual[:, p].T + size[:, None])[codes[:, m]]
+        return total
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -166,11 +172,10 @@ def _keyed(rows: DataFrame, kind: str, numbers: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, keys, raws = [], [], []
-            ids = batch.column(0).to_pylist()
-            for i, v in zip(ids, batch.column(1)):
+            for v in batch.column(1):
                 values = v.values
                 x = None
-                if i is not None and values is not None and len(values) and not values.null_count:
+                if values is not None and len(values) and not values.null_count:
                     x = np.asarray(values.to_numpy(zero_copy_only=False), numbers) + numbers.type(0)
                 ok = x is not None and bool(np.isfinite(x).all()) and bool(x.any())
                 dims.append(len(x) if ok else None)
@@ -205,8 +210,11 @@ def _radii(reps: DataFrame, quantiser, numbers: np.dtype) -> np.ndarray:
     return radii
 
 
+ENTRY = ["key", "n", "raw", "code", "missed", "list"]  #: what a cell holds of an entry
+
+
 def _dealt(reps: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
-    """Each entry with its list and the later lists that may hold links of it."""
+    """Each entry with its list, its code there and what that misses, and the later lists that may hold links of it."""
     radii = _radii(reps, quantiser, numbers)
     reach = math.sqrt(max(0.0, 2 - 2 * least))
 
@@ -217,15 +225,14 @@ def _dealt(reps: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataF
                 batch = whole.slice(at, 1024)
                 x = _vectors(batch, numbers)
                 own = q.lists(x, 1)[:, 0]
-                asked = q.within(x, own, radii, reach) & (np.arange(q.size) > own[:, None])
-                probes = pa.array([np.flatnonzero(a).astype(np.int32) for a in asked], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "n", "raw")), pa.array(own, pa.int32()), probes], ["key", "node", "n", "raw", "list", "probes"])
+                codes, missed = q.code(x, own)
+                probes = pa.array(q.within(x, own, radii, reach), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n", "raw")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed), pa.array(own, pa.int32()), probes], [*ENTRY, "probes"])
 
-    kind = reps.schema["node"].dataType.simpleString()
-    return reps.select("key", "node", "n", "raw").mapInArrow(run, f"key binary, node {kind}, n long, raw binary, list int, probes array<int>")
+    return reps.select("key", "n", "raw").mapInArrow(run, "key binary, n long, raw binary, code binary, missed double, list int, probes array<int>")
 
 
-def _cell_links(rows: pa.Table, numbers: np.dtype, least: float) -> tuple[list, list, list, list]:
+def _cell_links(rows: pa.Table, quantiser: Quantiser, numbers: np.dtype, least: float) -> tuple[list, list, list, list]:
     """A cell's rows: for each entry with links its key and their number, and links that connect what they connect.
 
     Queries meet all members; members meet each other, once, in the first part of the cell's queries.
@@ -235,17 +242,32 @@ def _cell_links(rows: pa.Table, numbers: np.dtype, least: float) -> tuple[list,
     x = _vectors(rows, numbers)
     single = x.astype(np.float32)
     slack = (x.shape[1] + 4) * 2.0**-23  # of single-precision products of unit vectors
-    nodes, counts = rows["node"].to_pylist(), rows["n"].to_numpy().astype(float)
+    keys, counts = rows["key"].to_pylist(), rows["n"].to_numpy().astype(float)
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(x), -1)
+    reach, missed = math.sqrt(max(0.0, 2 - 2 * least)), rows["missed"].to_numpy()
+    # squared look-up distances up to `sure` are links, beyond `may` none
+    may = (reach + missed) ** 2 + SLACK
+    sure = np.where(missed < reach, (reach - missed) ** 2 - SLACK, -1.0)
+    own_list = rows["list"][0].as_py()
     totals, label = np.zeros(rows.num_rows), np.arange(rows.num_rows)
     a, b = [], []
 
     def meet(own: np.ndarray, others: np.ndarray, later: bool) -> None:
-        product = single[own] @ single[others].T
-        linked = product >= least + slack
-        r, c = np.nonzero(np.abs(product - least) <= slack)
-        linked[r, c] = np.einsum("ij,ij->i", x[own[r]], x[others[c]]) >= least
+        far = quantiser.distances(x[own], own_list, codes[others]).T
+        linked = far <= sure[others]
+        unsure = (far <= may[others]) & ~linked
         if later:
-            linked &= others > own[:, None]
+            ordered = others > own[:, None]
+            linked &= ordered
+            unsure &= ordered
+        columns = np.flatnonzero(unsure.any(0))
+        if len(columns):  # the exact cosines of what the look-ups leave open
+            product = single[own] @ single[others[columns]].T
+            open_ = unsure[:, columns]
+            near = open_ & (product >= least + slack)
+            r, c = np.nonzero(open_ & (np.abs(product - least) <= slack))
+            near[r, c] = np.einsum("ij,ij->i", x[own[r]], x[others[columns[c]]]) >= least
+            linked[:, columns] |= near
         if not linked.any():
             return
         totals[own] += linked @ counts[others]
@@ -255,8 +277,8 @@ def _cell_links(rows: pa.Table, numbers: np.dtype, least: float) -> tuple[list,
             to = to[label[to] != label[s]]
             if len(to):
                 roots, at = np.unique(label[to], return_index=True)
-                a.extend([nodes[s]] * len(at))
-                b.extend(nodes[t] for t in to[at])
+                a.extend([keys[s]] * len(at))
+                b.extend(keys[t] for t in to[at])
                 label[np.isin(label, roots)] = label[s]
 
     for at in range(0, len(asking), 256):
@@ -264,40 +286,36 @@ def _cell_links(rows: pa.Table, numbers: np.dtype, least: float) -> tuple[list,
     if rows["part"][0].as_py() == 0:
         for at in range(0, len(inside), 256):
             meet(inside[at : at + 256], inside[at:], True)
-    keys = rows["key"]
     found = np.flatnonzero(totals)
-    return keys.take(pa.array(found)).to_pylist(), [int(t) for t in totals[found]], a, b
+    return [keys[f] for f in found], [int(t) for t in totals[found]], a, b
 
 
-def _links(index: DataFrame, lists: int, numbers: np.dtype, least: float) -> DataFrame:
-    """Rows (key, n) of entries' links and rows (a, b) of links, from all cells."""
-    probing = index.select("key", "node", "n", "raw", F.explode("probes").alias("list"))
+def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
+    """Rows (key, n) of entries' links and rows (a, b) of linked keys, from all cells."""
+    probing = index.select(*ENTRY[:-1], F.explode("probes").alias("list"))
     # into how many cells a list's members and its queries are dealt; members ask the later cells of their list too
     members = index.groupBy("list").agg(F.count("*").alias("members")).withColumn("cells", F.ceil(F.col("members") / CELL).cast("int"))
     asking = index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asking"))
     queries = F.coalesce("asking", F.lit(0)) + F.when(F.col("cells") > 1, F.col("members")).otherwise(0)
     sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.greatest(F.lit(1), F.ceil(queries / (2 * CELL))).cast("int").alias("parts")))
-    if lists <= SENT:
+    if quantiser.value.size <= SENT:
         sizes = F.broadcast(sizes)
-    entry = ["key", "node", "n", "raw", "list"]
     own_cell, own_part = F.pmod(F.xxhash64("key"), "cells").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int")
     spread = lambda start, of: F.explode(F.sequence(start, F.col(of) - 1))
     dealt = index.join(sizes, "list").withColumn("own", own_cell)
-    base = dealt.select(*entry, F.col("own").alias("cell"), spread(F.lit(0), "parts").alias("part"), F.lit(True).alias("member"))
-    beside = dealt.filter(F.col("own") < F.col("cells") - 1).select(*entry, spread(F.col("own") + 1, "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
-    ask = probing.join(sizes, "list").select(*entry, spread(F.lit(0), "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
+    base = dealt.select(*ENTRY, F.col("own").alias("cell"), spread(F.lit(0), "parts").alias("part"), F.lit(True).alias("member"))
+    beside = dealt.filter(F.col("own") < F.col("cells") - 1).select(*ENTRY, spread(F.col("own") + 1, "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
+    ask = probing.join(sizes, "list").select(*ENTRY, spread(F.lit(0), "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
     group = ["list", "cell", "part"]
-    kind = index.schema["node"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; a cell's rows are bounded."""
         rest = None
 
         def found(rows: pa.Table) -> pa.RecordBatch:
-            keys, n, a, b = _cell_links(rows, numbers, least)
+            keys, n, a, b = _cell_links(rows, quantiser.value, numbers, least)
             pad = lambda v, left, right: [None] * left + v + [None] * right
-            return pa.RecordBatch.from_arrays([pa.array(pad(keys, 0, len(a)), pa.binary()), pa.array(pad(n, 0, len(a)), pa.int64()), pa.array(pad(a, len(keys), 0), arrow), pa.array(pad(b, len(keys), 0), arrow)], ["key", "n", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pad(keys, 0, len(a)), pa.binary()), pa.array(pad(n, 0, len(a)), pa.int64()), pa.array(pad(a, len(keys), 0), pa.binary()), pa.array(pad(b, len(keys), 0), pa.binary())], ["key", "n", "a", "b"])
 
         for batch in batches:
             rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
@@ -308,7 +326,7 @@ def _links(index: DataFrame, lists: int, numbers: np.dtype, least: float) -> Dat
         if rest is not None and rest.num_rows:
             yield found(rest)
 
-    return base.unionByName(beside).unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"key binary, n long, a {kind}, b {kind}")
+    return base.unionByName(beside).unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key binary, n long, a binary, b binary")
 
 
 def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
@@ -321,33 +339,37 @@ def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
 def embedding_groups(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links, component_id, kept.
 
-    Vectors of equal length link where their cosine is at least `least`; every such pair is found. Rows without
-    an id, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
-    nothing: n_links 0, their own id as component. Equal vectors link with each other; repeated
-    rows count as other vectors. An empty table gives no rows; other columns are not read. The
-    centroids are fitted on at most SAMPLE vectors, which decides the work, not the links.
+    Vectors of equal length link where their cosine is at least `least`; every such pair is found.
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing:
+    n_links 0, their own id as component. Equal vectors link with each other; repeated rows count
+    as other vectors. Rows without an id link and count like any other, but name no component
+    unless all its rows lack one: its id is null then, and they are kept. An empty table gives no
+    rows; other columns are not read. The centroids and codebooks are fitted on at most SAMPLE
+    vectors, which decides the work, not the links.
     """
     spark = rows.sparkSession
     field = rows.schema[vec_col].dataType
     numbers = np.dtype("<f4" if isinstance(field, T.ArrayType) and isinstance(field.elementType, T.FloatType) else "<f8")
     kind = rows.schema[id_col].dataType.simpleString()
-    keyed = cut(_keyed(rows.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")), kind, numbers))
+    keyed = _keyed(rows.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")), kind, numbers)  # twice, as vectors are much to write again
     reps = cut(keyed.filter("key is not null").groupBy("dim", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("raw").alias("raw")))
     found = None
     for dim, total in sorted((r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = reps.filter(F.col("dim") == dim)
         sample = own.orderBy("key").limit(max(1, SAMPLE * 64 // max(64, dim))).select("raw").collect()
         quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, total // LIST)))
-        links = _links(cut(_dealt(own, quantiser, numbers, least)), quantiser.value.size, numbers, least)
+        links = _links(_dealt(own, quantiser, numbers, least), quantiser, numbers, least)
         found = links if found is None else found.unionByName(links)
     if found is None:
         return keyed.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(found)
     counts = found.filter("key is not null").groupBy("key").agg(F.sum("n").alias("links"))
-    roots = components(found.filter("a is not null").select("a", "b"))
-    by_key = reps.select("key", "node", F.col("n").alias("copies")).join(counts, "key", "left").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    roots = components(found.filter("a is not null").select("a", "b")).select(F.col("node").alias("key"), "root")
+    entries = reps.select("key", "node", F.col("n").alias("copies")).join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least_id = entries.groupBy("root").agg(F.min("node").alias("component"))
+    by_key = entries.join(least_id, "root").select("key", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     joined = keyed.select("vec_id", "key").join(cut(by_key), "key", "left")
-    component = F.coalesce("root", "vec_id")
+    component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return joined.select(F.col("vec_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 

@@ -107,15 +107,19 @@ def test_simhash_groups(odd, odd_rows, none):
 
 
 def plain_groups(rows, least=0.9):
-    ok = [(k, i, np.array(v, float)) for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
-    links, union = [0] * len(rows), Union(sorted({i for _, i, _ in ok}))
+    ok = [(k, i, np.array(v, float)) for k, (i, v) in enumerate(rows) if v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    links, union = [0] * len(rows), Union(range(len(rows)))
     for x, (k, i, u) in enumerate(ok):
         for y, (m, j, v) in enumerate(ok):
             if x != y and len(u) == len(v) and (u / np.abs(u).max()) @ (v / np.abs(v).max()) / np.linalg.norm(u / np.abs(u).max()) / np.linalg.norm(v / np.abs(v).max()) >= least:
                 links[k] += 1
-                union.join(i, j)
-    known = {k for k, _, _ in ok}
-    return [(i, links[k], union.find(i) if k in known else i, (union.find(i) if k in known else i) == i) for k, (i, _) in enumerate(rows)]
+                union.join(k, m)
+    known, name = {k for k, _, _ in ok}, {}
+    for k, i, _ in ok:
+        if i is not None:
+            name[union.find(k)] = min(i, name.get(union.find(k), i))
+    components = [name.get(union.find(k)) if k in known else i for k, (i, _) in enumerate(rows)]
+    return [(i, links[k], components[k], components[k] == i) for k, (i, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize("cell", [512, 5])
@@ -124,7 +128,7 @@ def test_embedding_groups(spark, monkeypatch, clashes, cell):
     draw = np.random.default_rng(7)
     base = draw.normal(size=(8, 16))
     rows = [(i, (base[i % 8] + draw.normal(size=16) * (0.05 if i % 3 else 0.6)).astype(np.float32).tolist()) for i in range(150)]
-    rows += [(200 + i, rows[0][1]) for i in range(4)] + [(300, None), (301, []), (302, [0.0] * 16), (303, [None] + [1.0] * 15), (304, [float("nan")] * 16), (305, [float("inf")] + [0.0] * 15), (None, rows[1][1]), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [3e38] * 16), (309, [-0.0] * 15 + [1.0]), (310, [0.0] * 15 + [1.0])]
+    rows += [(200 + i, rows[0][1]) for i in range(4)] + [(300, None), (301, []), (302, [0.0] * 16), (303, [None] + [1.0] * 15), (304, [float("nan")] * 16), (305, [float("inf")] + [0.0] * 15), (None, rows[1][1]), (None, [0.0] * 15 + [-1.0]), (None, [0.0] * 15 + [-2.0]), (None, None), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [3e38] * 16), (309, [-0.0] * 15 + [1.0]), (310, [0.0] * 15 + [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     from pyspark.sql import functions as F
 
@@ -158,9 +162,37 @@ def test_look_up_distances_bound_true_ones(monkeypatch, lists):
     assert (q.lists(x, 3)[:, 0] == own).mean() > 0.8
     codes, missed = q.code(x, own)
     inside = np.flatnonzero(own == own[0])
-    bound = q.distances(x[:50], int(own[0]), codes[inside]) - missed[inside]
+    found = np.sqrt(np.maximum(q.distances(x[:50], int(own[0]), codes[inside]).T, 0))
     true = np.linalg.norm(x[:50, None] - x[inside], axis=2)
-    assert (bound <= true + 1e-3).all()
+    assert (found - missed[inside] <= true + 1e-3).all() and (true <= found + missed[inside] + 1e-3).all()
+    radii = np.array([np.sqrt(((x[own == n] - q.base(np.array([n]))) ** 2).sum(1)).max() if (own == n).any() else -1 for n in range(q.size)])
+    asked = q.within(x, own, radii, 0.9)
+    for i in range(len(x)):
+        near = {int(own[j]) for j in np.flatnonzero(np.linalg.norm(x - x[i], axis=1) <= 0.9)}
+        assert {n for n in near if n > own[i]} <= {*asked[i].tolist()} and (np.diff(asked[i]) > 0).all()
+
+
+@pytest.mark.parametrize("coarse", [4096, 24])
+def test_all_links_of_many_lists(spark, monkeypatch, coarse):
+    """16,000 vectors in hundreds of lists, of one level and of two: planted pairs near the threshold, and a crowded group."""
+    monkeypatch.setattr(embeddings, "COARSE", coarse)
+    monkeypatch.setattr(embeddings, "LIST", 50)
+    draw = np.random.default_rng(12)
+    base = draw.normal(size=(6000, 32))
+    vectors = np.concatenate([base, base + draw.normal(size=base.shape) * 0.48, draw.normal(size=32) + draw.normal(size=(4000, 32)) * 0.3]).astype(np.float32)
+    unit = embeddings.unit(vectors)
+    near = unit @ unit.T >= 0.9
+    want = near.sum(1) - 1
+    label = np.arange(len(vectors))
+    while True:
+        # the least label among a row's own and its links'
+        new = np.array([label[np.flatnonzero(row)].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    rows = embeddings.embedding_groups(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")).collect()
+    assert want[:12_000].sum() > 2000 and np.median(want[12_000:]) > 100
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows} == {i: (int(n), int(c), bool(i == c)) for i, (n, c) in enumerate(zip(want, label))}
 
 
 @pytest.mark.parametrize("coarse", [4096, 30])
