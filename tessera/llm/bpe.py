@@ -157,18 +157,17 @@ def _dealt(docs: DataFrame, path: str, short: bool) -> DataFrame:
                 elif what == PART:
                     ids = codec.ranks(data[0])
                 else:
-                    ids = []
-                    for piece in data:
-                        spelling = piece + codec.end
-                        joined[-1] += len(spelling) > tokens.LEAF
-                        ids += codec.vocab.ids[codec.ranks(spelling)].tolist()
-                found.append(np.array(ids, "<u4").tobytes())
+                    joined[-1] = sum(n + len(codec.end) > tokens.LEAF for n in map(len, data))
+                    ids = np.frombuffer(codec.coded([piece.decode() for piece in data]), codec.dtype)
+                found.append(np.asarray(ids, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "seq", "kind", "piece")), pa.array(found, pa.binary()), pa.array(joined, pa.int64())], ["key", "id", "seq", "kind", "piece", "ids", "joined"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by text and place; a text's ids go into its digests as they come."""
-        codec, names = tokens.codec(path, short), tokens.vocabulary(path).names
+        codec = tokens.codec(path, short)
         spaced = codec.library.decoder is None
+        names = [codec.vocab.names.get(i, "") for i in range(max(codec.vocab.names) + 1)]
+        numbers = [*map(str, range(len(names)))]
         now = None
 
         class Text:
@@ -182,7 +181,7 @@ def _dealt(docs: DataFrame, path: str, short: bool) -> DataFrame:
                 if ids:
                     lead = " " if self.n else ""
                     self.n += len(ids)
-                    self.ids_hash.update((lead + " ".join(map(str, ids))).encode())
+                    self.ids_hash.update((lead + " ".join([numbers[i] for i in ids])).encode())
                     if spaced:
                         self.text_hash.update((lead + " ".join([names[i] for i in ids])).encode())
                     else:

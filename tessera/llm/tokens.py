@@ -208,6 +208,10 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         return b"".join([self._code[r] for r in self.ranks_of(piece)])
 
+    def coded(self, pieces: list[str]) -> bytes:
+        """The ids of pieces, as bytes of the codec's type."""
+        return b"".join(map(self._pieces.__getitem__, pieces))
+
     def shortly(self, text: str) -> bool:
         """Whether the shorter way may take a text."""
         return self.short and not any(s in text for s in self.vocab.specials)
@@ -243,7 +247,7 @@ class Codec:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
         if not self.vocab.suffix and len(text) < BLOCK and latin(text):
             return self._ids[np.array(self._ranker.encode_ordinary(text), np.intp)]
-        return np.frombuffer(b"".join([b"".join(map(self._pieces.__getitem__, block)) for block in self.pieces(text)]), self.dtype)
+        return np.frombuffer(b"".join(map(self.coded, self.pieces(text))), self.dtype)
 
 
 def concatenated(spelling: bytes, merge: Callable[[bytes], list[int]], spell: list[bytes], leaf: int = LEAF) -> list[int]:
