@@ -32,6 +32,11 @@ def strict_tokens(text: Column) -> Column:
     return split_words(F.regexp_replace(F.lower(text), DELETED, ""))
 
 
+def has_strict_token(text: Column) -> Column:
+    """Whether a text has any strict token: a character that is neither deleted nor white space."""
+    return F.coalesce(text.rlike(rf"[^{DELETED[1:-1]}{SPACE[1:-2]}]"), F.lit(False))
+
+
 def month_name(date: Column) -> Column:
     """The month as two digits."""
     return F.date_format(date, "MM")

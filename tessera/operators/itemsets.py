@@ -1,8 +1,9 @@
 """Frequent itemsets: exact supports, and the candidates of partition-local mining.
 
 A basket table is long: (basket, item), each pair once. Itemsets of size k are columns
-i1 < ... < ik. Candidates need no level loop over partitions: a set is one exactly if some
-partition holds it at least threshold * baskets there / all baskets times.
+i1 < ... < ik. A set is a candidate exactly if some partition holds it at least threshold *
+baskets there / all baskets times; as its subsets are then held as often there, candidates are
+found level by level in all partitions at once, like frequent sets.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ def _levels(baskets: DataFrame, threshold: int) -> Iterator[DataFrame]:
         names = _names(size)
         found = held.groupBy(*names).agg(F.count("*").alias("support")).filter(F.col("support") >= threshold)
         yield found.select(*names, "support")
-        held, kept = cut(held), cut(found)
+        kept = cut(found)
+        held = cut(held.join(kept.select(*names), names, "left_semi"))
 
 
 def frequent(baskets: DataFrame, threshold: int, k: int) -> DataFrame:
@@ -95,27 +97,46 @@ def frequent_sets(baskets: DataFrame, threshold: int, most: int | None = None) -
     return out if out is not None else baskets.sparkSession.createDataFrame([], "k int, items string, support long")
 
 
+def _local_levels(baskets: DataFrame, threshold: int, partitions: int) -> Iterator[DataFrame]:
+    """(pid, i1..ik) of the sets of size k = 1, 2, ... that a partition finds frequent in its share.
+
+    Only items that are frequent in the partition, and sets whose first part is, are counted there.
+    """
+    pid = F.pmod("basket", F.lit(partitions)).alias("pid")
+    sizes = baskets.select("basket").distinct().groupBy(pid).agg(F.count("*").alias("own"))
+    total = sizes.agg(F.sum("own").alias("total"))
+    shares = cut(sizes.join(F.broadcast(total)))  # one row for each partition number
+
+    def frequent_there(held: DataFrame, names: list[str]) -> DataFrame:
+        counted = held.groupBy("pid", *names).agg(F.count("*").alias("n"))
+        return counted.join(F.broadcast(shares), "pid").filter(F.col("n") * F.col("total") >= threshold * F.col("own")).select("pid", *names)
+
+    held = baskets.select(pid, "basket", F.col("item").alias("i1"))
+    found = frequent_there(held, ["i1"])
+    yield found
+    kept = cut(found)
+    held = cut(held.join(kept, ["pid", "i1"], "left_semi"))
+    items = held.select("basket", F.col("i1").alias("item"))
+    for size in count(2):
+        names = _names(size)
+        held = held.join(items.withColumnRenamed("item", f"i{size}"), "basket").filter(F.col(f"i{size}") > F.col(f"i{size - 1}"))
+        found = frequent_there(held, names)
+        yield found
+        kept = cut(found)
+        held = cut(held.join(kept, ["pid", *names], "left_semi"))
+
+
 def candidates(baskets: DataFrame, threshold: int, k: int, partitions: int = 4) -> DataFrame:
     """(i1..ik) that some partition, of baskets by number modulo `partitions`, finds frequent in its share."""
-    pid = F.pmod("basket", F.lit(partitions))
-    sizes = baskets.select("basket").distinct().groupBy(pid.alias("pid")).agg(F.count("*").alias("own"))
-    total = sizes.agg(F.sum("own").alias("total"))
-    shares = F.broadcast(sizes.join(F.broadcast(total)))  # one row for each partition number
-    names = _names(k)
-    held = baskets.select("basket", F.col("item").alias("i1"))
-    for size in range(2, k + 1):
-        held = held.join(baskets.withColumnRenamed("item", f"i{size}"), "basket").filter(F.col(f"i{size}") > F.col(f"i{size - 1}"))
-    counted = held.groupBy(pid.alias("pid"), *names).agg(F.count("*").alias("n"))
-    return counted.join(shares, "pid").filter(F.col("n") * F.col("total") >= threshold * F.col("own")).select(*names).distinct()
+    return next(islice(_local_levels(baskets, threshold, partitions), k - 1, None)).select(*_names(k)).distinct()
 
 
 def candidate_counts(baskets: DataFrame, threshold: int, most: int = 2, partitions: int = 4) -> DataFrame:
-    """(k, n_candidates, n_frequent) for sizes 1 to `most`."""
+    """(k, n_candidates, n_frequent) for sizes 1 to `most`; each level is grown once."""
     out = None
-    for k in range(1, most + 1):
-        ours = candidates(baskets, threshold, k, partitions).agg(F.count("*").alias("n_candidates"))
-        exact = frequent(baskets, threshold, k).agg(F.count("*").alias("n_frequent"))
-        row = ours.join(exact).select(F.lit(k).alias("k"), "n_candidates", "n_frequent")  # one row each
+    for k, local, exact in zip(range(1, most + 1), _local_levels(baskets, threshold, partitions), _levels(baskets, threshold)):
+        ours = local.select(*_names(k)).distinct().agg(F.count("*").alias("n_candidates"))
+        row = cut(ours.join(exact.agg(F.count("*").alias("n_frequent"))).select(F.lit(k).alias("k"), "n_candidates", "n_frequent"))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.arithmetic import jaccard
-from tessera.functions.text import STOP_WORDS, strict_tokens
+from tessera.functions.text import STOP_WORDS, has_strict_token, strict_tokens
+from tessera.session import cut
 
 #: Fixed values of the model: least share of a kept word, words of a profile, least score of a prediction.
 SHARE = 0.0001
@@ -26,15 +27,16 @@ def tfidf(reviews: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS, share: f
     number of businesses are over all tokens. Scores have nine digits, so that ranks don't hang on
     the last bit of a logarithm.
     """
-    counts = word_counts(reviews)
+    counts = cut(word_counts(reviews))
     per_word = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     stopped = F.col("word").isin(*stop_words) if stop_words else F.lit(False)
     every = per_word.filter(~stopped).agg(F.sum("total").alias("every"))
     n = counts.agg(F.count_distinct("business_id").alias("businesses"))
     kept = per_word.filter(~stopped).join(every).join(n).filter(F.col("total") / F.col("every") > share)  # one row each
     joined = counts.join(kept, "word").select("business_id", "word", "n", F.log2(F.col("businesses") / F.col("df")).alias("idf"))
-    most = F.max("n").over(Window.partitionBy("business_id"))
-    return joined.select("business_id", "word", F.round(F.col("n") / most * F.col("idf"), 9).alias("score"))
+    # a maximum that combines before the shuffle, not a window over all words of a business
+    most = joined.groupBy("business_id").agg(F.max("n").alias("most"))
+    return joined.join(most, "business_id").select("business_id", "word", F.round(F.col("n") / F.col("most") * F.col("idf"), 9).alias("score"))
 
 
 def business_profiles(scores: DataFrame, words: int = WORDS) -> DataFrame:
@@ -45,7 +47,7 @@ def business_profiles(scores: DataFrame, words: int = WORDS) -> DataFrame:
 
 def user_profiles(reviews: DataFrame, profiles: DataFrame) -> DataFrame:
     """(user_id, word): the words of all businesses that the user wrote any token about."""
-    met = reviews.filter(F.size(strict_tokens(F.col("text"))) > 0).select("user_id", "business_id").distinct()
+    met = reviews.filter(has_strict_token(F.col("text"))).select("user_id", "business_id").distinct()
     return met.join(profiles, "business_id").select("user_id", "word").distinct()
 
 

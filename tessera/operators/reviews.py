@@ -18,9 +18,14 @@ def count_where(rows: DataFrame, condition: Column, name: str) -> DataFrame:
     return rows.agg(F.count_if(condition).alias(name))
 
 
+def key_counts(rows: DataFrame, key: Column, name: str, count: str = "n") -> DataFrame:
+    """All keys and their counts."""
+    return rows.groupBy(key.alias(name)).agg(F.count("*").alias(count))
+
+
 def top_counts(rows: DataFrame, key: Column, name: str, n: int, count: str = "n") -> DataFrame:
     """The n most frequent keys and their counts; of equal counts the smaller key first."""
-    return rows.groupBy(key.alias(name)).agg(F.count("*").alias(count)).orderBy(F.desc(count), name).limit(n)
+    return key_counts(rows, key, name, count).orderBy(F.desc(count), name).limit(n)
 
 
 def top_months(reviews: DataFrame, n: int = 5) -> DataFrame:
@@ -29,7 +34,12 @@ def top_months(reviews: DataFrame, n: int = 5) -> DataFrame:
 
 def top_states(reviews: DataFrame, businesses: DataFrame, n: int = 5) -> DataFrame:
     """States by number of reviews of their businesses; duplicate keys multiply, as in any inner join."""
-    return top_counts(reviews.select("business_id").join(businesses, "business_id"), F.col("state"), "state", n)
+    return state_counts(reviews, businesses).orderBy(F.desc("n"), "state").limit(n)
+
+
+def state_counts(reviews: DataFrame, businesses: DataFrame) -> DataFrame:
+    """(state, n): every state with the number of reviews of its businesses."""
+    return key_counts(reviews.select("business_id").join(businesses, "business_id"), F.col("state"), "state")
 
 
 def years_over(reviews: DataFrame, least: int) -> DataFrame:
@@ -58,6 +68,13 @@ def top_words(reviews: DataFrame, from_year: int, n: int = 10, longer_than: int
     return top_counts(words, F.col("word"), "word", n)
 
 
+def top_words_without(reviews: DataFrame, from_year: int, stop_words: DataFrame, n: int = 10, longer_than: int = 3) -> DataFrame:
+    """The same with the stop-words (word) of a table, which an anti join leaves out."""
+    words = cleaned(reviews, from_year, ()).select(F.explode("words").alias("word")).filter(F.char_length("word") > longer_than)
+    # counted before the join, so that a row a word meets the stop-words
+    return key_counts(words, F.col("word"), "word").join(stop_words.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(n)
+
+
 def pairs_in_state(reviews: DataFrame, businesses: DataFrame, state: str) -> DataFrame:
     """(user_id, business_id) of every review of the state's businesses, repeats included."""
     return reviews.select("user_id", "business_id").join(businesses.filter(F.col("state") == state), "business_id", "left_semi").select("user_id", "business_id")

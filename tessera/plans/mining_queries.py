@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import itemsets, similarity
+from tessera.session import cut
 from tessera.sources import tables
 from tessera.sources.tables import BASKETS_SQL, RATINGS_SQL, URL_SETS_SQL
 
@@ -12,6 +13,7 @@ YEAR = 1998
 PAIRS, TRIPLES, SHARDS = 30, 5, 4  #: thresholds of pairs and triples, and partitions of the candidates
 LARGE = 5
 SIMILAR = 0.3
+ZERO = "1"  #: the rate that counts as none in the conditional baskets, as no rating here is 0
 
 
 def _sets(spark, sf_dir):
@@ -24,8 +26,19 @@ def _signed(spark, sf_dir):
 
 def _quality(spark, sf_dir):
     sets = _sets(spark, sf_dir)
-    truth = similarity.exact_jaccard(sets).filter(F.col("sim") >= SIMILAR).select("u1", "u2")
-    return similarity.quality(similarity.band_candidates(similarity.signatures(sets)), truth)
+    truth = similarity.exact_jaccard(sets, least=SIMILAR).select("u1", "u2")
+    return similarity.quality(cut(similarity.band_candidates(similarity.signatures(sets))), cut(truth))
+
+
+def _agreement(spark, sf_dir):
+    sets, signed = _sets(spark, sf_dir), cut(_signed(spark, sf_dir))
+    return similarity.agreement(signed, similarity.exact_jaccard(sets, least=SIMILAR))
+
+
+def _conditional(spark, sf_dir):
+    """Ratings as string rows with rate and year, as a header-only CSV reader gives them."""
+    rows = tables.ratings(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in ("user_id", "business_id")], F.col("stars").cast("int").cast("string").alias("rate"), F.year("date").cast("string").alias("year"))
+    return itemsets.conditional_baskets(rows, str(YEAR), ZERO)
 
 
 QUERIES = {
@@ -46,7 +59,9 @@ QUERIES = {
     "minhash_signatures": lambda s, d: _signed(s, d).select("user_id", F.posexplode("sig").alias("i", "h")),
     "lsh_candidates": lambda s, d: similarity.band_candidates(_signed(s, d)),
     "lsh_similar_pairs": lambda s, d: similarity.similar_pairs(_sets(s, d), SIMILAR),
-    "exact_jaccard_pairs": lambda s, d: similarity.exact_jaccard(_sets(s, d)).filter(F.col("sim") >= SIMILAR),
+    "exact_jaccard_pairs": lambda s, d: similarity.exact_jaccard(_sets(s, d), least=SIMILAR),
+    "signature_agreement": _agreement,
+    "baskets_conditional": _conditional,
     "lsh_quality": _quality,
 }
 
@@ -93,5 +108,7 @@ ORACLES = {
     "lsh_candidates": _CANDIDATES,
     "lsh_similar_pairs": f"SELECT u1, u2, sim FROM ({_TRUE}) SEMI JOIN ({_CANDIDATES}) USING (u1, u2)",
     "exact_jaccard_pairs": _TRUE,
+    "signature_agreement": f"WITH sig AS ({_SIGS}) SELECT u1, u2, round(same / {similarity.HASHES} - sim, 6) AS diff FROM (SELECT u1, u2, sim, count(*) FILTER (x.h = y.h) AS same FROM ({_TRUE}) JOIN sig x ON x.user_id = u1 JOIN sig y ON y.user_id = u2 AND y.i = x.i GROUP BY ALL)",
+    "baskets_conditional": f"SELECT DISTINCT CAST(user_id AS VARCHAR) AS basket, CAST(business_id AS VARCHAR) AS item FROM ({RATINGS_SQL}) WHERE year(date) = {YEAR} AND CAST(CAST(stars AS INTEGER) AS VARCHAR) <> '{ZERO}'",
     "lsh_quality": f"WITH found AS ({_CANDIDATES}), truth AS ({_TRUE}), c AS (SELECT (SELECT count(*) FROM found) AS f, (SELECT count(*) FROM truth) AS t, (SELECT count(*) FROM found SEMI JOIN truth USING (u1, u2)) AS hit) SELECT round(hit / nullif(f, 0), 6) AS precision, round(hit / nullif(t, 0), 6) AS recall, round(2.0 / (nullif(f, 0) / nullif(hit, 0) + nullif(t, 0) / nullif(hit, 0)), 6) AS f1 FROM c",
 }

@@ -1,8 +1,11 @@
-"""Session defaults, and a reliable cut of lineage."""
+"""Session defaults, the shared folder, a reliable cut of lineage, and run times."""
 
 from __future__ import annotations
 
 import tempfile
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +21,34 @@ def session(name: str = "tessera", **options: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=DEFAULTS | options).getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only on a local master, where all run on one machine, a folder of our own where that is unset.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{scratch(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in the folder that spark.checkpoint.dir names (or a local one where it is unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    """The same rows, checkpointed in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def timed(run: Callable[[], object]) -> tuple[object, float]:
+    """What a job returns, and the seconds it took."""
+    began = time.monotonic()
+    return run(), time.monotonic() - began

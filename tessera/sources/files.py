@@ -41,6 +41,20 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_json_document(values: DataFrame, path: str) -> None:
+    """One JSON document of a table's only row, an object with a member for each column, nested ones included."""
+    values.select(F.to_json(F.struct(*values.columns), {"ignoreNullFields": "false"})).coalesce(1).write.text(path)
+
+
+def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row of a document that may span lines; anything malformed fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path)
+
+
+def write_stop_words(words: tuple[str, ...], spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([(" ".join(words),)], "value string").write.text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """With a header of column names."""
     rows.write.option("header", True).csv(path)

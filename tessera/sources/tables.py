@@ -1,4 +1,4 @@
-"""The test tables seen as ratings, reviews, businesses and baskets; all rows of each.
+"""The test tables seen as ratings, reviews, businesses and baskets; all rows that the joins give.
 
 Every adapter has the SQL that gives the same rows, for the oracles.
 """
@@ -25,7 +25,7 @@ RATINGS_SQL = "SELECT o_custkey AS user_id, l_suppkey AS business_id, CAST(1 + (
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(review_id, user_id, business_id, date, text): documents with the orders of their ids; a source is a business."""
+    """(review_id, user_id, business_id, date, text): documents with the orders of their ids, those without such an order left out; a source is a business."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return docs.join(orders, F.col("doc_id") == F.col("o_orderkey")).select(F.col("doc_id").alias("review_id"), F.col("o_custkey").alias("user_id"), F.col("source").alias("business_id"), F.col("o_orderdate").alias("date"), "text")
