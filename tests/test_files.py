@@ -37,3 +37,32 @@ def test_profiles(spark, tmp_path):
     files.write_profiles(table, f"{tmp_path}/out")
     assert (spark.read.text(f"{tmp_path}/out").filter("value like '%user%'").first()[0]) == '{"user":["u1",[]]}'
     assert rows(files.read_profiles(spark, f"{tmp_path}/out")) == rows(table)
+
+
+def test_json_document(spark, tmp_path):
+    table = spark.sql("SELECT 1.5D AS mean, array('a', 'b') AS words, CAST(NULL AS STRING) AS none")
+    files.write_json_document(table, f"{tmp_path}/out")
+    lines = [r[0] for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert lines == ['{"mean":1.5,"words":["a","b"],"none":null}']
+    assert rows(files.read_json_document(spark, f"{tmp_path}/out", "mean double, words array<string>, none string")) == [(1.5, ["a", "b"], None)]
+
+
+def test_entry_without_a_library(monkeypatch):
+    """The engine's queries stay where a library of the other operators is missing."""
+    import importlib
+
+    import __spark_entry__ as contract
+    from tessera import catalog
+
+    real = importlib.import_module
+
+    def missing(name, *rest):
+        if name in ("tessera.llm.queries", "corpus_pipeline"):
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *rest)
+
+    monkeypatch.setattr(contract.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert {*contract.queries()} == {*catalog.QUERIES}
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert {*contract.oracle_sql()} == {*catalog.ORACLES}

@@ -194,3 +194,43 @@ def test_empty_tables(spark):
     assert reviews.mean(spark.createDataFrame([], "x double"), "x", "m").first()["m"] is None
     assert recommend.pearson_model(stars(spark, [])).count() == 0
     assert similarity.similar_pairs(spark.createDataFrame([], "user_id long, item string")).count() == 0
+
+
+def test_large_sets_meet_item_by_item(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "WHOLE", 3)
+    sets = {1: "abcd", 2: "abce", 3: "ab", 4: "abc", 5: "xyz", 6: "abcd", 7: "xyzvwabcdefgh", 8: "y"}
+    table = spark.createDataFrame([(u, i) for u, own in sets.items() for i in own], "user_id long, item string")
+    for least in (0.3, 0.5, 0.75, 1.0):
+        want = [(a, b, s) for a in sets for b in sets if a < b and (s := round(len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}), 6)) >= least]
+        assert rows(similarity.exact_jaccard(table, least=least)) == sorted(want)
+    pairs = spark.createDataFrame([(1, 2), (3, 5), (1, 5), (7, 8)], "u1 long, u2 long")
+    assert rows(similarity.exact_jaccard(table, pairs)) == [(1, 2, 0.6), (1, 5, 0.0), (3, 5, 0.0), (7, 8, round(1 / 13, 6))]
+
+
+def test_equal_signatures_meet_once(spark):
+    signed = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 9, 9]), (3, [1, 2, 3, 4]), (4, [7, 7, 9, 9]), (5, [0, 0, 0, 0]), (6, [1, 2, 3, 4])], "user_id long, sig array<long>")
+    assert rows(similarity.band_candidates(signed)) == [(1, 2), (1, 3), (1, 6), (2, 3), (2, 4), (2, 6), (3, 6)]
+
+
+def test_timed_and_shared_folder(spark):
+    from tessera import session
+
+    found, seconds = session.timed(lambda: 7)
+    assert found == 7 and seconds >= 0
+    assert session.new_folder(spark, "x") != session.new_folder(spark, "x")
+
+
+def test_candidates_of_every_level(spark):
+    """Level by level with local pruning, against all sets of each partition."""
+    from itertools import combinations
+
+    draw = random.Random(4)
+    held = {b: sorted(draw.sample(range(9), draw.randint(1, 6))) for b in range(60)}
+    table = spark.createDataFrame([(b, i) for b, own in held.items() for i in own], "basket long, item long")
+    for k in (1, 2, 3, 4):
+        want = set()
+        for pid in range(3):
+            here = [own for b, own in held.items() if b % 3 == pid]
+            sets = [c for own in here for c in combinations(own, k)]
+            want |= {c for c in sets if sets.count(c) * len(held) >= 9 * len(here)}
+        assert rows(itemsets.candidates(table, 9, k, 3)) == sorted(want)
