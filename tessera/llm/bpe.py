@@ -49,8 +49,8 @@ class Digester:
                 if not block:
                     continue
                 sizes, ids, names = zip(*map(self.strings.__getitem__, block))
-                if max(sizes) > 1:
-                    self.joined += sum(n > 1 and self.codec.size(piece) > tokens.LEAF for n, piece in zip(sizes, block))
+                if 4 * max(map(len, block)) >= tokens.LEAF:  # a character has four bytes at most
+                    self.joined += sum(self.codec.size(piece) > tokens.LEAF for piece in block)
                 lead = " " if n else ""
                 n += sum(sizes)
                 ids_hash.update((lead + " ".join(ids)).encode())
