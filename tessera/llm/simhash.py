@@ -1,15 +1,20 @@
 """SimHash near-duplicates over pigeonhole blocks.
 
 Fingerprints are 64 majority bits over the hashes of word shingles. Two that differ in at most
-`max_bits` bits agree on at least `BLOCKS - max_bits` of `BLOCKS` blocks, so they share a key
-made of that many blocks; the join on these keys finds every close pair, and the Hamming distance
+`max_bits` bits agree on all but that many of their blocks, so they share a key made of those
+blocks; the join on these keys finds every close pair, and the Hamming distance
 verifies it. Equal fingerprints are one row from the start, however many documents have them.
 Within a key, rows are dealt into bounded cells, and every two cells of a key meet in one task
 that returns no more than a spanning forest of the links there.
+
+`near_copies` goes on from there to near copies by text: within the components of fingerprints
+that differ in at most NEAR_BITS bits, different texts link where their word shingles' Jaccard
+similarity reaches a bound, again in bounded cells and as spanning forests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -25,7 +30,8 @@ from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
 SEED = 42
-BLOCKS = 5  #: blocks of a fingerprint; pairs agree on BLOCKS - max_bits of them
+NEAR_BITS = 6  #: bits in which fingerprints of near copies may differ
+NEAR_ROWS, NEAR_BYTES = 256, 1 << 24  #: texts, and bytes of them, in one cell of a component, about
 CELL = 512  #: fingerprints of one key that meet in one task, about
 SHINGLES = 1 << 16  #: shingles whose bits are summed at once
 
@@ -34,7 +40,7 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 def fingerprint(text: str | None, size: int) -> int:
     """The SimHash of a text: A-Z lower-cased, words between ASCII white space, shingles of `size` words with repeats."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
+    words = words_of(text)  # bytes: only A-Z change, only ASCII white space splits
     if not words:
         return 0
     if len(words) <= size:
@@ -72,9 +78,13 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _block_masks() -> list[int]:
-    ends = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-    return [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(ends, ends[1:])]
+def _keys(max_bits: int) -> list[int]:
+    """Masks of the keys: of so many blocks that pairs within `max_bits` bits agree on two (three where those are many) all choices of these."""
+    agree = 2 if max_bits <= 3 else 3
+    blocks = max_bits + agree
+    ends = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(ends, ends[1:])]
+    return [sum(masks[i] for i in c) for c in combinations(range(blocks), agree)]
 
 
 def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -101,20 +111,24 @@ def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int)
     return links
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair (x, y) of cells that its own is one of."""
+    meets = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
+    return rows.withColumn("m", F.explode(meets)).withColumns({"x": F.col("m.x"), "y": F.col("m.y")}).drop("m")
+
+
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) that connect all pairs within `max_bits` bits."""
-    if not 0 < max_bits < BLOCKS:
-        raise ValueError(f"max_bits must lie between 1 and {BLOCKS - 1}")
-    masks = [sum(_block_masks()[i] for i in c) for c in combinations(range(BLOCKS), BLOCKS - max_bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(signed)])
-    keyed = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.which", "key.part")
-    sizes = keyed.groupBy("which", "part").agg(F.count("*").alias("n")).filter("n > 1")
+    if not 0 < max_bits <= 8:
+        raise ValueError("max_bits must lie between 1 and 8")
+    signed = [m - (1 << 64) if m >> 63 else m for m in _keys(max_bits)]
+    # a key is the hash of its blocks; should two hashes meet, the Hamming distance still decides
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    keyed = distinct.select("fp", F.explode(keys).alias("part"))
+    sizes = keyed.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
     # as many cells as hold CELL each; a cell meets itself and every other cell of its key
-    shared = keyed.join(sizes, ["which", "part"]).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    shared = shared.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("x"), F.greatest("cell", o).alias("y")))
-    dealt = shared.select("fp", "which", "part", "cell", F.explode(meets).alias("m")).select("fp", "which", "part", "cell", "m.x", "m.y")
+    shared = keyed.join(sizes, "part").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
+    dealt = _met(shared.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))).select("fp", "part", "cell", "x", "y")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and pair of cells; a group's rows are bounded by two cells."""
@@ -129,7 +143,7 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
             out, _ = _groups(rest, max_bits, last=True)
             yield from out.to_batches()
 
-    group = ["which", "part", "x", "y"]
+    group = ["part", "x", "y"]
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(joined, "a long, b long").distinct()
 
 
@@ -140,12 +154,12 @@ def _groups(rows: pa.Table, max_bits: int, last: bool) -> tuple[pa.Table, pa.Tab
     """Links of all groups that are complete, and the rows of the one that may go on."""
     rows = rows.combine_chunks()
     fps = rows["fp"].to_numpy().view(np.uint64)
-    columns = [rows[c].to_numpy() for c in ("which", "part", "x", "y")]
+    columns = [rows[c].to_numpy() for c in ("part", "x", "y")]
     new = np.ones(len(fps), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(fps))
-    cell, x, y = rows["cell"].to_numpy(), columns[2], columns[3]
+    cell, x, y = rows["cell"].to_numpy(), columns[1], columns[2]
     done = len(starts) if last else len(starts) - 1
     found: list[tuple[int, int]] = []
     sizes = ends - starts
@@ -191,31 +205,137 @@ def simhash_groups(docs: DataFrame, size: int = 3, max_bits: int = 3, id_col: st
     return found.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all its columns: the one with the smallest id.
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: A-Z lower-cased, between ASCII white space."""
+    return (text or "").encode().lower().split()
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """The hashes of a word list's different shingles, ascending; of fewer words than `size` the whole list is one."""
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter(map(_hash, (b" ".join(words[i : i + size]) for i in range(n))), np.uint64, n))
+
+
+def _alike(texts: list[bytes], left: list[int], right: list[int], size: int, least: float) -> list[tuple[int, int]]:
+    """Links that connect what the pairs of similarity `least` between (or within) two cells connect, no more than texts less one."""
+    sets = [shingles(t.split(), size) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for i in left:
+        for j in right:
+            a, b = len(sets[i]), len(sets[j])
+            if i == j or min(a, b) < least * max(a, b) or not a or find(i) == find(j):
+                continue
+            both = a + b - len(np.union1d(sets[i], sets[j]))
+            if both >= least * (a + b - both):
+                parent[find(i)] = find(j)
+                found.append((i, j))
+    return found
+
+
+def _near_links(entries: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) between keys of texts (root, key, words) of one root that connect all pairs of similarity `least`."""
+    sizes = entries.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes")).filter("n > 1")
+    cells = F.greatest(F.ceil(F.col("n") / NEAR_ROWS), F.ceil(F.col("bytes") / NEAR_BYTES)).cast("int")
+    shared = entries.join(sizes.select("root", cells.alias("cells")), "root").withColumn("cell", F.pmod(F.xxhash64("key"), "cells").cast("int"))
+    group = ["root", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by root and pair of cells; a group's rows are bounded by two cells."""
+        own: list[dict] = []
+
+        def linked() -> pa.RecordBatch:
+            x, y = own[0]["x"], own[0]["y"]
+            left, right = ([i for i, r in enumerate(own) if r["cell"] == c] for c in (x, y))
+            found = _alike([r["words"] for r in own], left, right, size, least)
+            return pa.RecordBatch.from_arrays([pa.array([own[i]["key"] for i, _ in found], pa.binary()), pa.array([own[j]["key"] for _, j in found], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for r in batch.slice(at, 64).to_pylist():
+                    if own and any(r[c] != own[0][c] for c in group):
+                        yield linked()
+                        own = []
+                    own.append(r)
+        if own:
+            yield linked()
+
+    return _met(shared).select("root", "key", "words", "cell", "x", "y").repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, max_bits: int = NEAR_BITS, print_size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, key (a digest of its words) and component_id (the smallest id reachable by links, itself included).
+
+    Rows of the same words are one class. Classes link where the Jaccard similarity of their
+    shingles of `size` words is at least `least`, among those whose fingerprints (shingles of
+    `print_size` words) hang together by links of at most `max_bits` bits; so every link is a near
+    copy, and a near copy is missed where its fingerprint is farther than that from all others of
+    its component. Texts without words are one class. Null ids name no component unless all its
+    ids are null; repeated rows each give a row; an empty table gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = np.fromiter((fingerprint(t, print_size) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), pa.array([_key(words_of(t)) for t in texts], pa.binary())], ["id", "fp", "key"])
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [words_of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_key, own), pa.binary()), pa.array([b" ".join(w) for w in own], pa.binary())], ["key", "words"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, key binary"))
+    texts = cut(found.groupBy("key").agg(F.min("id").alias("first"), F.min("fp").alias("fp")))
+    roots = components(links(texts.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    rooted = texts.join(roots, "fp", "left").select("key", F.coalesce("root", "fp").alias("root"))
+    crowds = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    wanted = cut(rooted.join(crowds, "root"))  # texts that may have near copies
+    entries = docs.select(text_col).mapInArrow(worded, "key binary, words binary").join(wanted, "key").groupBy("key").agg(F.first("root").alias("root"), F.first("words").alias("words"))
+    near = components(_near_links(cut(entries), size, least)).withColumnRenamed("node", "key")
+    classes = texts.join(near.withColumnRenamed("root", "class"), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    smallest = classes.groupBy("class").agg(F.min("first").alias("component_id"))
+    named = cut(classes.select("key", "class").join(smallest, "class"))
+    return found.join(named, "key").select(F.col("id").alias(id_col), "key", "class", "component_id")
+
+
+def _key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def keep_first(docs: DataFrame, size: int = 5, least: float = 0.8, max_bits: int = NEAR_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near copies, with all its columns: the one with the smallest id.
 
     Of rows that share that id the least by text and then the other columns stays, and so it does
-    in a group whose ids are all null.
+    in a component whose ids are all null.
     """
-    found, classes = _classes(docs, size, max_bits, id_col, text_col)
-    kept = found.join(classes, "fp").filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
+    found = near_copies(docs, size, least, max_bits, id_col=id_col, text_col=text_col)
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     rest = [text_col, *(c for c in docs.columns if c not in (id_col, text_col))]
 
-    def least(rows: DataFrame, key: str) -> DataFrame:
+    def least_of(rows: DataFrame, key: str) -> DataFrame:
         return rows.groupBy(key).agg(F.min(F.struct(*[c for c in rest])).alias("_row"))
 
-    named = least(docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi"), id_col).select(id_col, "_row.*").select(*docs.columns)
-    bare = docs.filter(F.col(id_col).isNull())
-    kind = docs.schema
+    named = least_of(docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi"), id_col).select(id_col, "_row.*").select(*docs.columns)
 
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.fromiter((fingerprint(t, size) for t in batch.column(batch.schema.names.index(text_col)).to_pylist()), np.uint64, batch.num_rows)
-            yield batch.append_column("_fp", pa.array(own.view(np.int64)))
+            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            yield batch.append_column("_key", pa.array([_key(words_of(t)) for t in texts], pa.binary()))
 
-    alone = classes.filter("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    marked = bare.mapInArrow(printed, T.StructType([*kind.fields, T.StructField("_fp", T.LongType())])).join(alone, "_fp")
-    nameless = least(marked, "_root").select(F.lit(None).cast(kind[id_col].dataType).alias(id_col), "_row.*").select(*docs.columns)
+    alone = found.filter("component_id is null").select(F.col("key").alias("_key"), F.col("class").alias("_class")).distinct()
+    bare = docs.filter(F.col(id_col).isNull()).mapInArrow(keyed, T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())]))
+    nameless = least_of(bare.join(alone, "_key"), "_class").select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), "_row.*").select(*docs.columns)
     return named.unionByName(nameless)
 
 

@@ -97,13 +97,66 @@ def test_simhash_groups(odd, odd_rows, none):
     want = sorted(repr((i, f"{prints[k]:016x}", least.get(union.find(k)))) for k, (i, *_) in enumerate(odd_rows))
     assert sorted(repr(tuple(r)) for r in simhash.simhash_groups(odd).collect()) == want
     assert simhash.simhash_groups(none).count() == 0
-    kept = simhash.keep_first(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({*least.values()})
-    # of the groups without any id one row each stays
-    nameless = {union.find(k) for k in range(len(prints))} - {*least}
-    assert sum(r["doc_id"] is None for r in kept.collect()) == len(nameless)
-    assert simhash.keep_first(none).count() == 0
+
+
+def plain_near(texts, bits=6, size=5, least=0.8):
+    """Classes of near copies: Hamming components of fingerprints, and in them all pairs by the Jaccard similarity of their shingles."""
+    words = [b" ".join((t or "").encode().lower().split()) for t in texts]
+    prints = [simhash.fingerprint(t, 3) for t in texts]
+    own = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        own.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    close, union = Union(range(len(texts))), Union(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= bits:
+                close.join(a, b)
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(own[a] & own[b])
+            if words[a] == words[b] or (close.find(a) == close.find(b) and both and both >= least * len(own[a] | own[b])):
+                union.join(a, b)
+    return [union.find(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("cell", [256, 3])
+def test_near_copies(spark, odd, odd_rows, none, vocabulary, monkeypatch, cell):
+    monkeypatch.setattr(simhash, "NEAR_ROWS", cell)
+    draw = random.Random(41)
+    base = [draw.choice(vocabulary) for _ in range(120)]
+    rows = [*odd_rows]
+    for i in range(40):  # near copies of one text, by ever more changed words
+        own = [*base]
+        for _ in range(i // 4):
+            own[draw.randrange(120)] = draw.choice(vocabulary)
+        rows.append((1000 + i, " ".join(own), "en", "a", 1))
+    docs = odd.unionByName(spark.createDataFrame(rows[len(odd_rows) :], odd.select("doc_id", "text", "lang", "source", "n_chars").schema), allowMissingColumns=True)
+    roots = plain_near([t for _, t, *_ in rows])
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[roots[k]] = min(i, least.get(roots[k], i))
+    got = sorted(repr((r["doc_id"], r["component_id"])) for r in simhash.near_copies(docs).collect())
+    assert got == sorted(repr((i, least.get(roots[k]))) for k, (i, *_) in enumerate(rows))
+    assert 3 < len({roots[len(odd_rows) + i] for i in range(40)}) < 40
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({*least.values()})
+    # of the components without any id one row each stays
+    assert ids.count(None) == len({*roots} - {*least})
+    assert simhash.keep_first(none).count() == simhash.near_copies(none).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 3, 4, 6])
+def test_keys_find_all_close_pairs(bits):
+    draw = random.Random(bits)
+    masks = simhash._keys(bits)
+    for _ in range(500):
+        a = draw.getrandbits(64)
+        b = a ^ sum(1 << i for i in draw.sample(range(64), bits))
+        assert any(a & m == b & m for m in masks)
 
 
 def plain_groups(rows, least=0.9):

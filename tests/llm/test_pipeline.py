@@ -4,7 +4,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import secrets, simhash, toxicity
+from test_groups import plain_near
+
+from tessera.llm import secrets, toxicity
 from tessera.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -20,17 +22,13 @@ def test_stages(spark):
     single = corpus_pipeline.drop_near_copies(spark, kept, SF)
     assert single.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
-    prints = {i: simhash.fingerprint(t, 3) for i, t in texts.items()}
-    root = {i: i for i in texts}
-    changed = True
-    while changed:
-        changed = False
-        for a in texts:
-            for b in texts:
-                if root[b] < root[a] and (prints[a] ^ prints[b]).bit_count() <= 3:
-                    root[a], changed = root[b], True
+    ids = sorted(texts)
+    root = dict(zip(ids, plain_near([texts[i] for i in ids])))
+    first = {}
+    for i in ids:
+        first.setdefault(root[i], i)
     alone = single.cache()
-    assert sorted(r["doc_id"] for r in alone.collect()) == sorted(i for i, r in root.items() if i == r)
+    assert sorted(r["doc_id"] for r in alone.collect()) == sorted(first.values())
     masked = corpus_pipeline.mask_secrets(spark, alone, SF)
     assert masked.columns == docs.columns
     for r in masked.collect():
