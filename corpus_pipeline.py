@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxic documents go, one of each near-duplicate group stays, secrets are masked, the rest is packed.
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, secrets are masked, the rest is packed.
 
 Each stage works on all that the one before has kept. Rows of the result are those of packing:
 pieces of documents in sequences of at most 1024 tokens. Null and empty texts pass every stage;
@@ -17,12 +17,12 @@ from tessera.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.3."""
+    """Documents whose toxicity score is under 0.3; a labelled one is scored by the other examples."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id."""
+    """Of documents that link by five-word shingles of Jaccard similarity 0.8 or more, found among near SimHash fingerprints, the one with the smallest id."""
     return keep_first(docs)
 
 
