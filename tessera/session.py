@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,6 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores where few partitions of the input hold any, as in a file of one row group; else as they are.
+
+    Only partition numbers are read to see that. What is shuffled then is no more than a quarter of
+    the cores read in one round of tasks, so a large table never is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    held = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(cores) if 0 < held <= cores // 4 else rows
+
+
 def timed(run: Callable[[], object]) -> tuple[object, float]:
     """What a job returns, and the seconds it took."""
     began = time.monotonic()

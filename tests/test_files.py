@@ -66,3 +66,14 @@ def test_entry_without_a_library(monkeypatch):
         assert {*contract.queries()} == {*catalog.QUERIES}
     with pytest.warns(UserWarning, match="xxhash"):
         assert {*contract.oracle_sql()} == {*catalog.ORACLES}
+
+
+def test_spread(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.session import spread
+
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    few, many = spark.range(100).coalesce(1), spark.range(100, numPartitions=4)
+    assert parts(spread(few)) == spark.sparkContext.defaultParallelism and spread(few).count() == 100
+    assert spread(many) is many and spread(few.limit(0)).count() == 0
