@@ -31,14 +31,14 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
-LIST = 2048  #: vectors to a list, about
+LIST = 16_384  #: vectors of up to 64 dimensions to a list, about; fewer of longer ones
 COARSE = 4096  #: centroids of the first level, and of the second, at most: up to COARSE^2 lists
 SENT = 65_536  #: lists whose sizes may be broadcast
 SLACK = 1e-4  #: more than rounding can change in a sum of look-ups, a squared distance of unit vectors
 SAMPLE = 65_536  #: vectors that centroids and codebooks are fitted on, at most
 CODES = 256  #: codes of a subspace
 WIDTH = 4  #: dimensions of a subspace
-CELL = 4096  #: members of a list in one cell, and half of its queries
+CELL = 16_384  #: members of a list in one cell, and half of its queries; fewer of longer vectors
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -243,8 +243,10 @@ def _cell_links(rows: pa.Table, quantiser: Quantiser, numbers: np.dtype, least:
     single = x.astype(np.float32)
     slack = (x.shape[1] + 4) * 2.0**-23  # of single-precision products of unit vectors
     keys, counts = rows["key"].to_pylist(), rows["n"].to_numpy().astype(float)
-    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(x), -1)
-    reach, missed = math.sqrt(max(0.0, 2 - 2 * least)), rows["missed"].to_numpy()
+    own_codes = np.frombuffer(b"".join(rows["code"].drop_null().to_pylist()), np.uint8).reshape(len(inside), -1)
+    codes = np.zeros((len(x), own_codes.shape[1] if len(inside) else 0), np.uint8)
+    codes[inside] = own_codes
+    reach, missed = math.sqrt(max(0.0, 2 - 2 * least)), np.nan_to_num(rows["missed"].to_numpy().astype(float))
     # squared look-up distances up to `sure` are links, beyond `may` none
     may = (reach + missed) ** 2 + SLACK
     sure = np.where(missed < reach, (reach - missed) ** 2 - SLACK, -1.0)
@@ -281,7 +283,7 @@ def _cell_links(rows: pa.Table, quantiser: Quantiser, numbers: np.dtype, least:
                 b.extend(keys[t] for t in to[at])
                 label[np.isin(label, roots)] = label[s]
 
-    for at in range(0, len(asking), 256):
+    for at in range(0, len(asking) if len(inside) else 0, 256):
         meet(asking[at : at + 256], inside, False)
     if rows["part"][0].as_py() == 0:
         for at in range(0, len(inside), 256):
@@ -290,22 +292,33 @@ def _cell_links(rows: pa.Table, quantiser: Quantiser, numbers: np.dtype, least:
     return [keys[f] for f in found], [int(t) for t in totals[found]], a, b
 
 
-def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> DataFrame:
-    """Rows (key, n) of entries' links and rows (a, b) of linked keys, from all cells."""
-    probing = index.select(*ENTRY[:-1], F.explode("probes").alias("list"))
+def _of(rows: int, dim: int) -> int:
+    """So many rows of 64 dimensions, in vectors of `dim`."""
+    return max(1, rows * 64 // max(64, dim))
+
+
+def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float, cell: int) -> DataFrame:
+    """Rows (key, n) of entries' links and rows (a, b) of linked keys, from all cells of `cell` members."""
     # into how many cells a list's members and its queries are dealt; members ask the later cells of their list too
-    members = index.groupBy("list").agg(F.count("*").alias("members")).withColumn("cells", F.ceil(F.col("members") / CELL).cast("int"))
-    asking = index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asking"))
+    places = cut(index.select("list", "probes"))
+    members = places.groupBy("list").agg(F.count("*").alias("members")).withColumn("cells", F.ceil(F.col("members") / cell).cast("int"))
+    asking = places.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("asking"))
     queries = F.coalesce("asking", F.lit(0)) + F.when(F.col("cells") > 1, F.col("members")).otherwise(0)
-    sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.greatest(F.lit(1), F.ceil(queries / (2 * CELL))).cast("int").alias("parts")))
+    sizes = cut(members.join(asking, "list", "left").select("list", "cells", F.greatest(F.lit(1), F.ceil(queries / (2 * cell))).cast("int").alias("parts")))
     if quantiser.value.size <= SENT:
         sizes = F.broadcast(sizes)
+    visit = lambda to, own: F.struct(to.alias("list"), F.lit(own).alias("own"))
+    visits = F.concat(F.array(visit(F.col("list"), True)), F.transform("probes", lambda p: visit(p, False)))
+    rows = index.select("key", "n", "raw", "code", "missed", F.explode(visits).alias("v")).select("key", "n", "raw", "code", "missed", "v.list", "v.own").join(sizes, "list")
     own_cell, own_part = F.pmod(F.xxhash64("key"), "cells").cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), "parts").cast("int")
-    spread = lambda start, of: F.explode(F.sequence(start, F.col(of) - 1))
-    dealt = index.join(sizes, "list").withColumn("own", own_cell)
-    base = dealt.select(*ENTRY, F.col("own").alias("cell"), spread(F.lit(0), "parts").alias("part"), F.lit(True).alias("member"))
-    beside = dealt.filter(F.col("own") < F.col("cells") - 1).select(*ENTRY, spread(F.col("own") + 1, "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
-    ask = probing.join(sizes, "list").select(*ENTRY, spread(F.lit(0), "cells").alias("cell"), own_part.alias("part"), F.lit(False).alias("member"))
+    place = lambda to, part, member: F.struct(to.alias("cell"), part.alias("part"), F.lit(member).alias("member"))
+    asked = lambda first: F.transform(F.sequence(first, F.col("cells") - 1), lambda c: place(c, own_part, False))
+    later = F.when(own_cell < F.col("cells") - 1, asked(own_cell + 1)).otherwise(F.array().cast("array<struct<cell: int, part: int, member: boolean>>"))
+    home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(own_cell, p, True))
+    dealt = rows.withColumn("at", F.explode(F.when(F.col("own"), F.concat(home, later)).otherwise(asked(F.lit(0)))))
+    # only members are looked up by their codes
+    only = lambda c: F.when(F.col("at.member"), F.col(c)).alias(c)
+    dealt = dealt.select("key", "n", "raw", only("code"), only("missed"), "list", "at.cell", "at.part", "at.member")
     group = ["list", "cell", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +339,7 @@ def _links(index: DataFrame, quantiser, numbers: np.dtype, least: float) -> Data
         if rest is not None and rest.num_rows:
             yield found(rest)
 
-    return base.unionByName(beside).unionByName(ask).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key binary, n long, a binary, b binary")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "key binary, n long, a binary, b binary")
 
 
 def _starts(rows: pa.Table, group: list[str]) -> np.ndarray:
@@ -357,8 +370,8 @@ def embedding_groups(rows: DataFrame, least: float = 0.9, id_col: str = "vec_id"
     for dim, total in sorted((r["dim"], r["n"]) for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = reps.filter(F.col("dim") == dim)
         sample = own.orderBy("key").limit(max(1, SAMPLE * 64 // max(64, dim))).select("raw").collect()
-        quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, total // LIST)))
-        links = _links(_dealt(own, quantiser, numbers, least), quantiser, numbers, least)
+        quantiser = spark.sparkContext.broadcast(Quantiser(unit(np.frombuffer(b"".join(bytes(r["raw"]) for r in sample), numbers).reshape(len(sample), dim)), max(1, total // _of(LIST, dim))))
+        links = _links(_dealt(own, quantiser, numbers, least), quantiser, numbers, least, _of(CELL, dim))
         found = links if found is None else found.unionByName(links)
     if found is None:
         return keyed.select(F.col("vec_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
