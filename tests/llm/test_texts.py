@@ -283,7 +283,7 @@ MEG = 1_000_000
 def test_secrets_take_linear_time(text):
     began = time.process_time()
     secrets.secret_spans(text)
-    assert time.process_time() - began < 6  # 1 to 2 s where nothing else runs; superlinear ways took minutes
+    assert time.process_time() - began < 20  # 1 to 2 s where nothing else runs; superlinear ways took minutes
 
 
 def test_names_are_followed_through_long_chains():
@@ -372,7 +372,7 @@ def test_long_hosts_and_paths(spark):
     many = "a." * 500_000 + "example.com"
     began = time.process_time()
     assert shape.candidates(many, "/en/" + "x" * 1_000_000) == ["com", "com/en/", "example.com", "example.com/en/", "a.example.com", "a.example.com/en/"]
-    assert shape.candidates("a" * 1_000_000, "/") == [] and time.process_time() - began < 1
+    assert shape.candidates("a" * 1_000_000, "/") == [] and time.process_time() - began < 5
     table = spark.createDataFrame([(1, f"http://{many}/en/1"), (2, f"http://{many}/en/" + "x" * 100_000)], "page_id long, url string")
     assert {r["rule"] for r in url_filter.url_verdicts(table, [("block", "com/en/")], []).collect()} == {"com/en/"}
 
