@@ -3,7 +3,7 @@
 Fingerprints are 64 majority bits over the hashes of word shingles. Two that differ in at most
 `max_bits` bits agree on all but that many of their blocks, so they share a key made of those
 blocks; the join on these keys finds every close pair, and the Hamming distance
-verifies it. Equal fingerprints are one row from the start, however many documents have them.
+verifies it. A key that a crowd shares is parted by choices of blocks of the other bits. Equal fingerprints are one row from the start, however many documents have them.
 Within a key, rows are dealt into bounded cells, and every two cells of a key meet in one task
 that returns no more than a spanning forest of the links there.
 
@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ SEED = 42
 NEAR_BITS = 6  #: bits in which fingerprints of near copies may differ
 NEAR_ROWS, NEAR_BYTES = 256, 1 << 24  #: texts, and bytes of them, in one cell of a component, about
 CELL = 512  #: fingerprints of one key that meet in one task, about
+CROWD = 8 * CELL  #: fingerprints of one key from which it is parted further
 SHINGLES = 1 << 16  #: shingles whose bits are summed at once
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -78,37 +79,68 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def _masks(bits: list[int], blocks: int, agree: int) -> list[int]:
+    """The bits in `blocks` blocks: masks of all choices of `agree` of them."""
+    ends = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[s:e]) for s, e in zip(ends, ends[1:])]
+    return [sum(c) for c in combinations(masks, agree)]
+
+
 def _keys(max_bits: int) -> list[int]:
-    """Masks of the keys: of so many blocks that pairs within `max_bits` bits agree on two (three where those are many) all choices of these."""
+    """Masks of the keys: of so many blocks that pairs within `max_bits` bits agree on two (three where those are many)."""
     agree = 2 if max_bits <= 3 else 3
-    blocks = max_bits + agree
-    ends = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << e) - 1) ^ ((1 << s) - 1) for s, e in zip(ends, ends[1:])]
-    return [sum(masks[i] for i in c) for c in combinations(range(blocks), agree)]
+    return _masks([*range(64)], max_bits + agree, agree)
+
+
+def _finer(mask: int, max_bits: int) -> list[int]:
+    """Masks for the pairs that share a key: of the bits outside it they agree on two blocks again."""
+    return _masks([b for b in range(64) if not mask >> b & 1], max_bits + 2, 2)
+
+
+def _signed(masks: list[int]) -> Column:
+    """The masks as one array, a literal however many they are."""
+    return F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in masks)), ",").cast("array<bigint>")
+
+
+class Forest:
+    """Components of rows; `label` names each row's by its first row."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def meet(self, i: int, near: np.ndarray) -> None:
+        """Row i hangs together with the rows `near`."""
+        own = np.unique(self.label[near])
+        if len(own) and (own != self.label[i]).any():
+            all_ = np.append(own, self.label[i])
+            self.label[np.isin(self.label, all_)] = all_.min()
 
 
 def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links that connect what the close pairs between (or within) two cells connect, no more than rows less one.
+    """Links, each to the first row of a component, that connect what the close pairs between (or within) two cells connect.
 
-    Compared in blocks; a pivot's row is skipped once the whole cell hangs together with it.
+    Where two cells meet, what hangs together within either is found again but not returned, as
+    each cell's meeting with itself does that: a tight crowd gives one link for two cells.
     """
-    parent = list(range(len(fps)))
+    forest = Forest(len(fps))
+    near = lambda i, rows: rows[np.bitwise_count(fps[rows] ^ fps[i]) <= max_bits]
+    if left is not right:
+        for own in (left, right):
+            for i in own:
+                forest.meet(i, near(i, own))
+    before = forest.label.copy()
+    for i in left:
+        forest.meet(i, near(i, right))
+    moved = np.flatnonzero((before == np.arange(len(fps))) & (forest.label != before))
+    return list(zip(fps[moved].view(np.int64).tolist(), fps[forest.label[moved]].view(np.int64).tolist()))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    links = []
-    for i in left:
-        near = right[np.bitwise_count(fps[right] ^ fps[i]) <= max_bits]
-        for j in near:
-            a, b = find(int(i)), find(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(fps[i].view(np.int64)), int(fps[j].view(np.int64))))
-    return links
+def _stars(edges: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the given ones do, fewer where a node has been linked to many: to the least of them, and they to that."""
+    own = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).groupBy("node").agg(F.sort_array(F.collect_set("to")).alias("m"))  # a few for each key
+    link = lambda a: F.struct(a.alias("a"), F.col("m")[0].alias("b"))
+    out = F.concat(F.array(link(F.col("node"))), F.transform(F.slice("m", F.lit(2), F.size("m") - 1), link))
+    return own.select(F.explode(out).alias("e")).select("e.a", "e.b").distinct()
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -121,14 +153,26 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) that connect all pairs within `max_bits` bits."""
     if not 0 < max_bits <= 8:
         raise ValueError("max_bits must lie between 1 and 8")
-    signed = [m - (1 << 64) if m >> 63 else m for m in _keys(max_bits)]
+    masks = _keys(max_bits)
     # a key is the hash of its blocks; should two hashes meet, the Hamming distance still decides
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    keyed = distinct.select("fp", F.explode(keys).alias("part"))
-    sizes = keyed.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    keys = F.transform(_signed(masks), lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """The rows with the number of those that share their key, where these fill more than a cell."""
+        large = rows.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > CELL)
+        return rows.join(large, "part", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+
+    shared = counted(distinct.select("fp", F.explode(keys).alias("part")))
+    # a crowded key is parted by further blocks
+    finer = [_finer(m, max_bits) for m in masks]
+    which = F.array_position(keys, F.col("part")).cast("int") - 1
+    own = F.slice(_signed([m for ms in finer for m in ms]), which * len(finer[0]) + 1, len(finer[0]))
+    parts = F.transform(own, lambda m, i: F.xxhash64(F.col("part"), i, F.col("fp").bitwiseAND(m)))
+    crowded = shared.filter(F.col("n") > CROWD).select("fp", F.explode(parts).alias("part"))
+    shared = shared.filter(F.col("n") <= CROWD).unionByName(counted(crowded))
     # as many cells as hold CELL each; a cell meets itself and every other cell of its key
-    shared = keyed.join(sizes, "part").withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    dealt = _met(shared.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))).select("fp", "part", "cell", "x", "y")
+    celled = shared.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
+    dealt = _met(celled).select("fp", "part", "cell", "x", "y")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and pair of cells; a group's rows are bounded by two cells."""
@@ -144,7 +188,8 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
             yield from out.to_batches()
 
     group = ["part", "x", "y"]
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(joined, "a long, b long").distinct()
+    found = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(joined, "a long, b long")
+    return _stars(_stars(found))
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -174,10 +219,11 @@ def _groups(rows: pa.Table, max_bits: int, last: bool) -> tuple[pa.Table, pa.Tab
                 found += zip(block[near, i].view(np.int64).tolist(), block[near, j].view(np.int64).tolist())
             continue
         for s in at:
-            own = fps[s : s + size]
-            index = np.arange(size)
-            where = cell[s : s + size]
-            found += _forest(own, index[where == x[s]], index[where == y[s]], max_bits)
+            # the same rows give the same links under whatever key they meet
+            order = s + np.argsort(fps[s : s + size])
+            index, where = np.arange(size), cell[order]
+            left = index[where == x[s]]
+            found += _forest(fps[order], left, left if x[s] == y[s] else index[where == y[s]], max_bits)
     cut_at = len(fps) if last else int(starts[-1])
     a, b = ([p for p, _ in found], [q for _, q in found])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK), rows.slice(cut_at)
@@ -219,27 +265,27 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
 
 
 def _alike(texts: list[bytes], left: list[int], right: list[int], size: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect what the pairs of similarity `least` between (or within) two cells connect, no more than texts less one."""
+    """Links that connect what the pairs of similarity `least` between (or within) two cells connect; see `_forest`."""
     sets = [shingles(t.split(), size) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    found = []
-    for i in left:
-        for j in right:
-            a, b = len(sets[i]), len(sets[j])
-            if i == j or min(a, b) < least * max(a, b) or not a or find(i) == find(j):
-                continue
-            both = a + b - len(np.union1d(sets[i], sets[j]))
-            if both >= least * (a + b - both):
-                parent[find(i)] = find(j)
-                found.append((i, j))
-    return found
+    sizes = np.array([len(own) for own in sets])
+    forest = Forest(len(texts))
+
+    def meet(rows: list[int], others: np.ndarray) -> None:
+        for i in rows:
+            n = sizes[i]
+            for j in others[(np.minimum(sizes[others], n) >= least * np.maximum(sizes[others], n)) & (n > 0)]:
+                if forest.label[i] != forest.label[j]:
+                    both = n + sizes[j] - len(np.union1d(sets[i], sets[j]))
+                    if both >= least * (n + sizes[j] - both):
+                        forest.meet(i, np.array([j]))
+
+    if left is not right:
+        meet(left, np.array(left, int))
+        meet(right, np.array(right, int))
+    before = forest.label.copy()
+    meet(left, np.array(right, int))
+    moved = np.flatnonzero((before == np.arange(len(texts))) & (forest.label != before))
+    return list(zip(moved.tolist(), forest.label[moved].tolist()))
 
 
 def _near_links(entries: DataFrame, size: int, least: float) -> DataFrame:
@@ -255,7 +301,9 @@ def _near_links(entries: DataFrame, size: int, least: float) -> DataFrame:
 
         def linked() -> pa.RecordBatch:
             x, y = own[0]["x"], own[0]["y"]
-            left, right = ([i for i, r in enumerate(own) if r["cell"] == c] for c in (x, y))
+            own.sort(key=lambda r: r["key"])
+            left = [i for i, r in enumerate(own) if r["cell"] == x]
+            right = left if x == y else [i for i, r in enumerate(own) if r["cell"] == y]
             found = _alike([r["words"] for r in own], left, right, size, least)
             return pa.RecordBatch.from_arrays([pa.array([own[i]["key"] for i, _ in found], pa.binary()), pa.array([own[j]["key"] for _, j in found], pa.binary())], ["a", "b"])
 

@@ -59,9 +59,10 @@ def test_fingerprints_in_blocks(monkeypatch, odd_rows):
     assert simhash.fingerprint(odd_rows[3][1], 3) == want
 
 
-@pytest.mark.parametrize("cell", [512, 6])
-def test_links_connect_what_close_pairs_connect(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, crowd, bits", [(512, 4096, 3), (6, 48, 3), (6, 8, 3), (6, 8, 6), (512, 4096, 6)])
+def test_links_connect_what_close_pairs_connect(spark, monkeypatch, cell, crowd, bits):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     draw = random.Random(9)
     centre = draw.getrandbits(64)
     prints = {draw.getrandbits(64) for _ in range(60)} | {centre ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 4))) for _ in range(60)}
@@ -73,11 +74,10 @@ def test_links_connect_what_close_pairs_connect(spark, monkeypatch, cell):
     union = Union(signed)
     for a in signed:
         for b in signed:
-            if ((a ^ b) & (2**64 - 1)).bit_count() <= 3:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= bits:
                 union.join(a, b)
     got = Union(signed)
-    for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect():
-        assert ((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 3
+    for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits).collect():
         got.join(r["a"], r["b"])
     assert {p: got.find(p) for p in signed} == {p: union.find(p) for p in signed}
 
@@ -156,7 +156,8 @@ def test_keys_find_all_close_pairs(bits):
     for _ in range(500):
         a = draw.getrandbits(64)
         b = a ^ sum(1 << i for i in draw.sample(range(64), bits))
-        assert any(a & m == b & m for m in masks)
+        key = next(m for m in masks if a & m == b & m)
+        assert any(a & m == b & m for m in simhash._finer(key, bits)) and all(not m & key for m in simhash._finer(key, bits))
 
 
 def plain_groups(rows, least=0.9):
