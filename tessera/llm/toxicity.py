@@ -35,6 +35,8 @@ from tessera.llm.common import cut, table
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)  #: lengths of word beginnings that are terms besides whole words
 BLOCK = 64  #: examples in a block of the index
+WORDS = 20_000  #: words whose terms a worker remembers
+SCORES = 2_000  #: scores of equal counts that a task remembers
 MARK = "~"  #: ends a term that is a word's beginning
 OFTEN = (2, 3, 5)  #: a term's count in a text from which it also gives the term with that number
 
@@ -55,16 +57,26 @@ class Extractor:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.plain = {t.partition("#")[0] for t in terms}
-        self.starts = {t.removesuffix(MARK)[:3] for t in self.plain}
+        self.known: dict[str, tuple[str, ...]] = {}  # the chosen terms of words, while they are remembered
+
+    def terms(self, word: str) -> tuple[str, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            found = tuple(t for t in terms_of(word) if t in self.plain)
+            if len(word) <= 64:
+                self.known[word] = found
+        return found
 
     def counts(self, text: str | None) -> Counter:
         found: Counter = Counter()
         if text:
-            starts, plain = self.starts, self.plain
-            for match in WORD.finditer(text.lower()) if len(text) > 1 << 20 else WORD.findall(text.lower()):
-                word = match if isinstance(match, str) else match.group()
-                if word[:3] in starts:
-                    found.update(t for t in terms_of(word) if t in plain)
+            low = text.lower()
+            words = Counter(WORD.findall(low) if len(text) <= 1 << 20 else (m.group() for m in WORD.finditer(low)))
+            for word, n in words.items():
+                for term in self.terms(word):
+                    found[term] += n
         number = self.number
         return Counter({number[t]: n for term, n in found.items() for t in often(term, n) if t in number})
 
@@ -182,7 +194,7 @@ class Scorer:
         if doc_id is not None and (row := self.row_of.get(int(doc_id), -1)) >= 0:
             return self._found(key, row)
         if key not in self.memo:
-            if len(self.memo) > 10_000:
+            if len(self.memo) >= SCORES:
                 self.memo.clear()
             self.memo[key] = self._found(key, -1)
         return self.memo[key]
