@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arithmetic import jaccard
 from tessera.functions.text import STOP_WORDS, has_strict_token, strict_tokens
-from tessera.session import cut
+from tessera.session import cut, dealt, stored
 
 #: Fixed values of the model: least share of a kept word, words of a profile, least score of a prediction.
 SHARE = 0.0001
@@ -47,24 +47,27 @@ def business_profiles(scores: DataFrame, words: int = WORDS) -> DataFrame:
 
 def user_profiles(reviews: DataFrame, profiles: DataFrame) -> DataFrame:
     """(user_id, word): the words of all businesses that the user wrote any token about."""
-    met = reviews.filter(has_strict_token(F.col("text"))).select("user_id", "business_id").distinct()
-    return met.join(profiles, "business_id").select("user_id", "word").distinct()
+    met = stored(reviews.filter(has_strict_token(F.col("text"))).select("user_id", "business_id").distinct(), "met")
+    # a profile of at most WORDS words travels as one row; words multiply where a user's businesses have met
+    lists = profiles.groupBy("business_id").agg(F.collect_list("word").alias("words"))
+    owned = dealt(met.join(lists, "business_id"), met.count() * 10.0, "user_id")
+    return owned.select("user_id", F.explode("words").alias("word")).distinct()
 
 
 def model(users: DataFrame, businesses: DataFrame) -> DataFrame:
     """(kind, id, words) of both kinds of profile."""
     words = F.array_sort(F.collect_set("word")).alias("words")
     one = businesses.groupBy(F.col("business_id").cast("string").alias("id")).agg(words).withColumn("kind", F.lit("business"))
-    two = users.groupBy(F.col("user_id").cast("string").alias("id")).agg(words).withColumn("kind", F.lit("user"))
+    two = users.groupBy("user_id").agg(words).select(F.col("user_id").cast("string").alias("id"), "words").withColumn("kind", F.lit("user"))  # where a user's words are
     return one.unionByName(two).select("kind", "id", "words")
 
 
 def predict(test: DataFrame, users: DataFrame, businesses: DataFrame, least: float = LEAST) -> DataFrame:
     """`test` (user_id, business_id, ...) with sim, the Jaccard of both profiles; 0 without a profile; rows under `least` go."""
-    mine = users.groupBy("user_id").agg(F.count("*").alias("_nu"))
-    theirs = businesses.groupBy("business_id").agg(F.count("*").alias("_nb"))
-    pairs = test.select("user_id", "business_id").distinct()
-    shared = pairs.join(users, "user_id").join(businesses, ["business_id", "word"]).groupBy("user_id", "business_id").agg(F.count("*").alias("_both"))
-    scored = test.join(shared, ["user_id", "business_id"], "left").join(mine, "user_id", "left").join(theirs, "business_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.withColumn("sim", F.round(jaccard(zero("_both"), zero("_nu"), zero("_nb")), 6)).filter(F.col("sim") >= least).select(*test.columns, "sim")
+    theirs = businesses.groupBy("business_id").agg(F.collect_set("word").alias("_theirs"))
+    mine = users.groupBy("user_id").agg(F.collect_set("word").alias("_mine"))  # of the vocabulary's kept words
+    asked = test.join(theirs, "business_id", "left")
+    scored = dealt(asked, test.count() * 10.0, "user_id").join(mine, "user_id", "left")
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    scored = scored.withColumns({"_both": size(F.array_intersect("_mine", "_theirs")), "_nu": size(F.col("_mine")), "_nb": size(F.col("_theirs"))})
+    return scored.withColumn("sim", F.round(jaccard(F.col("_both"), F.col("_nu"), F.col("_nb")), 6)).filter(F.col("sim") >= least).select(*test.columns, "sim")
